@@ -85,9 +85,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys)
 
 
-def save_table(df: DataFrame, name: str) -> DataFrame:
+def save_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Overwrite a catalog table and read it back, so later steps do not recompute it."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+    df.write.mode("overwrite").format("parquet").saveAsTable(name, path=path)
     return df.sparkSession.table(name)
 
 
