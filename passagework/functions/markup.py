@@ -1,6 +1,6 @@
-"""Cleaning of marked-up encyclopedia text as one column expression.
+"""Cleaning rules of marked-up encyclopedia text as column expressions.
 
-The chain is native except for entity decoding, for which neither Spark nor SQL
+The rules are native except for entity decoding, for which neither Spark nor SQL
 has the HTML5 table; only texts that contain an ampersand cross to Python.
 """
 
@@ -65,9 +65,14 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+def drop_tags(text: Column) -> Column:
+    """Remove everything between angle brackets."""
+    return F.regexp_replace(text, TAG, "")
+
+
 def decode_entities(text: Column) -> Column:
-    """Decode HTML entities in one pass; text without ``&`` stays in the JVM."""
-    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+    """HTML entities decoded in one pass; null for text without ``&``, which stays in the JVM."""
+    return _unescape(F.when(F.contains(text, F.lit("&")), text))
 
 
 def keep_long_lines(text: Column, min_chars: int = MIN_LINE_CHARS) -> Column:
@@ -76,13 +81,12 @@ def keep_long_lines(text: Column, min_chars: int = MIN_LINE_CHARS) -> Column:
     return F.array_join(F.filter(lines, lambda line: F.length(line) > min_chars), "\n")
 
 
-def clean_markup(text: Column) -> Column:
-    """Plain text of a marked-up article; null and empty give the empty string.
+def drop_markup(text: Column) -> Column:
+    """Remove the markup left after tags and entities, then short lines; null gives "".
 
     Blank-line collapsing is left out: the line filter removes every blank line,
     so it cannot change the result.
     """
-    cleaned = decode_entities(F.regexp_replace(text, TAG, ""))
     for pattern, replacement in _AFTER_ENTITIES:
-        cleaned = F.regexp_replace(cleaned, pattern, replacement)
-    return F.coalesce(keep_long_lines(cleaned), F.lit(""))
+        text = F.regexp_replace(text, pattern, replacement)
+    return F.coalesce(keep_long_lines(text), F.lit(""))

@@ -63,8 +63,7 @@ def citation_ok(
 def context_used(response: Column, context: Column) -> Column:
     """Whether the answer repeats one of the first three context blocks."""
     blocks = F.slice(F.split(F.lower(context), "\n\n"), 1, CONTEXT_BLOCKS)
-    answer = F.lower(response)
-    used = F.exists(blocks, lambda block: F.contains(answer, block))
+    used = F.exists(blocks, lambda block: F.contains(F.lower(response), block))
     return F.coalesce((context != "") & used, F.lit(False))
 
 
@@ -95,46 +94,36 @@ def facts_of_list(facts: Column) -> Column:
     return F.transform(F.filter(facts, lambda s: ~is_blank(s)), normalise)
 
 
-def _f1(precision: Column, recall: Column) -> Column:
-    total = precision + recall
-    return F.when(total == 0, F.lit(0.0)).otherwise(2 * (precision * recall) / total)
+def fact_words(facts: Column) -> Column:
+    """The distinct words of each fact."""
+    return F.transform(facts, lambda f: F.array_distinct(words(f)))
 
 
-def fact_f1(
-    predicted: Column, expected: Column, fuzzy: bool = True, cap: bool = False
-) -> Column:
-    """F1 of predicted against expected facts (arrays of normalised text).
-
-    Fuzzy: a predicted fact matches when it shares at least half of the smaller
-    word set with some expected fact, and the same match count serves precision
-    and recall, so the value can pass 1; ``cap`` clamps it. Exact: on sets.
-    """
-    if fuzzy:
-        n_predicted, n_expected = F.size(predicted), F.size(expected)
-        expected_sets = F.transform(expected, lambda f: F.array_distinct(words(f)))
-        predicted_sets = F.transform(predicted, lambda f: F.array_distinct(words(f)))
-
-        def matches(p: Column) -> Column:
-            return F.exists(
-                expected_sets,
+def matched_facts(predicted: Column, expected: Column) -> Column:
+    """How many predicted word sets share half of the smaller set with an expected one."""
+    return F.size(
+        F.filter(
+            predicted,
+            lambda p: F.exists(
+                expected,
                 lambda e: F.size(F.array_intersect(p, e))
                 >= F.least(F.size(p), F.size(e)) * FUZZY_SHARE,
-            )
-
-        hits = F.size(F.filter(predicted_sets, matches))
-    else:
-        predicted_set, expected_set = F.array_distinct(predicted), F.array_distinct(expected)
-        n_predicted, n_expected = F.size(predicted_set), F.size(expected_set)
-        hits = F.size(F.array_intersect(predicted_set, expected_set))
-    score = _f1(hits / n_predicted, hits / n_expected)
+            ),
+        )
+    )
+
+
+def f1_of_counts(hits: Column, predicted: Column, expected: Column, cap: bool = False) -> Column:
+    """F1 of matched, predicted and expected counts; 1 when nothing was expected or given."""
+    precision, recall = hits / predicted, hits / expected
+    score = 2 * (precision * recall) / (precision + recall)
     if cap:
         score = F.least(score, F.lit(1.0))
-    value = (
-        F.when(F.size(expected) == 0, (F.size(predicted) == 0).cast("double"))
-        .when(F.size(predicted) == 0, F.lit(0.0))
+    return (
+        F.when(expected == 0, (predicted == 0).cast("double"))
+        .when((predicted == 0) | (hits == 0), F.lit(0.0))
         .otherwise(score)
     )
-    return F.when(predicted.isNull() | expected.isNull(), F.lit(0.0)).otherwise(value)
 
 
 def keywords(question: Column) -> Column:
@@ -147,15 +136,10 @@ def keywords(question: Column) -> Column:
     return F.transform(kept, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
 
 
-def complete(question: Column, response: Column, threshold: float = COMPLETENESS_PASS) -> Column:
-    """Whether the answer mentions enough of the question's keywords."""
-    terms = keywords(question)
-    answer = F.lower(response)
+def share_named(terms: Column, answer: Column) -> Column:
+    """Share of the keywords that occur in the lower-cased answer; 1 without keywords."""
     named = F.size(F.filter(terms, lambda t: F.contains(answer, t)))
-    value = F.when(F.size(terms) == 0, F.lit(True)).otherwise(
-        named / F.size(terms) >= threshold
-    )
-    return F.when(question.isNull() | response.isNull(), F.lit(False)).otherwise(value)
+    return F.when(F.size(terms) == 0, F.lit(1.0)).otherwise(named / F.size(terms))
 
 
 def weighted_total(citation: Column, relevance: Column, f1: Column, completeness: Column) -> Column:

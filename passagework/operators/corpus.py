@@ -6,7 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.functions.markup import MIN_TEXT_CHARS, clean_markup
+from passagework.functions.markup import (
+    MIN_TEXT_CHARS,
+    decode_entities,
+    drop_markup,
+    drop_tags,
+)
+from passagework.operators.steps import settle
 
 # Chunk length and overlap in characters.
 CHUNK_SIZE = 1000
@@ -18,6 +24,14 @@ def keep_long_texts(df: DataFrame, text: str = "text", min_chars: int = MIN_TEXT
     return df.filter(F.length(text) >= min_chars)
 
 
+def clean_markup(df: DataFrame, text: str = "text") -> DataFrame:
+    """Replace a marked-up text by its plain form; null and empty give the empty string."""
+    bare = settle(df, text, drop_tags(F.col(text)))
+    decoded = bare.withColumn("_decoded", decode_entities(F.col(text)))
+    plain = drop_markup(F.coalesce("_decoded", text))
+    return settle(decoded, text, plain).drop("_decoded")
+
+
 def clean_corpus(df: DataFrame, text: str = "text", min_chars: int = MIN_TEXT_CHARS) -> DataFrame:
     """Replace the text by its cleaned form and keep the rows that stay long enough.
 
@@ -25,7 +39,7 @@ def clean_corpus(df: DataFrame, text: str = "text", min_chars: int = MIN_TEXT_CH
     before any work is spent on them.
     """
     raw = keep_long_texts(df, text, min_chars)
-    return keep_long_texts(raw.withColumn(text, clean_markup(F.col(text))), text, min_chars)
+    return keep_long_texts(clean_markup(raw, text), text, min_chars)
 
 
 def _with_chunks(df: DataFrame, pieces: Column, key: str, text: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from passagework.functions.metrics import judge_overall, keywords
 from passagework.functions.text import strip
+from passagework.operators.steps import settle
 
 # Instructions and field labels of the answer, rewrite and judge steps.
 ANSWER_INSTRUCTIONS = (
@@ -113,11 +114,16 @@ def cite_best_passage(
     Takes the passage that names most of the question's keywords, the better
     ranked one on a tie, and answers with its first line and its citation.
     """
+    terms = settle(
+        passages,
+        "_asked",
+        F.struct(keywords(F.col(question)).alias("terms"), F.lower(text).alias("passage")),
+    )
     named = F.size(
-        F.filter(keywords(F.col(question)), lambda t: F.contains(F.lower(F.col(text)), t))
+        F.filter("_asked.terms", lambda t: F.contains(F.col("_asked.passage"), t))
     )
     line = strip(F.split(strip(F.col(text)), "\n")[0])
-    scored = passages.select(
+    scored = terms.select(
         question_id,
         F.struct(named.alias("named"), (-F.col(rank)).alias("order")).alias("merit"),
         F.concat(line, F.lit(" ["), F.col(rank).cast("string"), F.lit("]")).alias("answer"),

@@ -39,12 +39,13 @@ def embed(
 ) -> DataFrame:
     """Add a vector per row, computed in Arrow batches by the caller's model function."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(list(np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)))
 
-    return df.withColumn(name, vectors(text))
+    # Not deterministic to the optimiser, so that no filter runs the model a second time.
+    return df.withColumn(name, vectors.asNondeterministic()(text))
 
 
 def require_unique(index: DataFrame, key: str) -> DataFrame:

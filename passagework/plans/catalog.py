@@ -1,6 +1,10 @@
 """All registered queries."""
 
-from passagework.plans import corpus_queries  # noqa: F401
+from passagework.plans import (  # noqa: F401
+    context_queries,
+    corpus_queries,
+    index_queries,
+)
 from passagework.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.functions.markup import clean_markup, keep_long_lines
+from passagework.functions.markup import keep_long_lines
 from passagework.operators.corpus import (
     boundary_chunks,
     clean_corpus,
+    clean_markup,
     fixed_chunks,
     keep_long_texts,
 )
@@ -65,7 +66,7 @@ def corpus_chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
 )
 def corpus_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
     pages = spread(read_parquet(spark, folder, "pages").select("page_id", "html"), "page_id")
-    return _digest(pages.withColumn("text", clean_markup(F.col("html"))), "page_id")
+    return _digest(clean_markup(pages, "html"), "page_id", text="html")
 
 
 # One sample of every markup rule around the text of a document.
@@ -88,7 +89,7 @@ _MARKUP_AFTER = "\t \n{{a {{b}} c}} ​ end of text &copy; &middot;\n=== Next =
 def corpus_clean_injected(spark: SparkSession, folder: str) -> DataFrame:
     documents = spread(read_parquet(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     marked = F.concat(F.lit(_MARKUP_BEFORE), F.col("text"), F.lit(_MARKUP_AFTER))
-    return _digest(documents.select("doc_id", clean_markup(marked).alias("text")), "doc_id")
+    return _digest(clean_markup(documents.withColumn("text", marked)), "doc_id")
 
 
 @query(
