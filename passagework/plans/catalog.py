@@ -3,7 +3,11 @@
 from passagework.plans import (  # noqa: F401
     context_queries,
     corpus_queries,
+    evalset_queries,
+    flow_queries,
     index_queries,
+    scoring_queries,
+    selection_queries,
 )
 from passagework.plans.registry import ORACLES, QUERIES
 

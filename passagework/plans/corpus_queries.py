@@ -112,7 +112,7 @@ def corpus_line_filter(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(documents.select("doc_id", keep_long_lines(squeezed).alias("text")), "doc_id")
 
 
-def _boundary_sql(source: str) -> str:
+def boundary_sql(source: str) -> str:
     """Pieces of (doc_id, text) by the boundary rule, one recursion step per piece."""
 
     def after(mark: str) -> str:
@@ -144,7 +144,7 @@ def _boundary_sql(source: str) -> str:
            md5(substring(t, start + 1, n)) AS md5 FROM cuts"""
 
 
-@query(_boundary_sql("SELECT doc_id, text AS t FROM documents WHERE length(text) >= 100"))
+@query(boundary_sql("SELECT doc_id, text AS t FROM documents WHERE length(text) >= 100"))
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_parquet(spark, folder, "documents").select("doc_id", "text")
     chunks = boundary_chunks(spread(keep_long_texts(documents), "doc_id"), "doc_id")
@@ -152,7 +152,7 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    _boundary_sql(
+    boundary_sql(
         f"SELECT * FROM (SELECT doc_id, {twins.clean('text')} AS t FROM documents) WHERE length(t) >= 100"
     )
 )

@@ -112,12 +112,13 @@ def first_rows(df: DataFrame, limit: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
-def read_run_files(spark: SparkSession, path: str) -> DataFrame:
-    """Saved run files, one JSON document each, as one row per accepted stage.
+def read_run_files(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Saved run records as one row per accepted stage.
 
-    Runs without an accepted stage keep one row with a null stage.
+    A record is a line of JSON, or with ``one_per_file`` a whole file. Runs without
+    an accepted stage keep one row with a null stage.
     """
-    runs = spark.read.schema(RUN_FILE).option("multiLine", True).json(path)
+    runs = spark.read.schema(RUN_FILE).option("multiLine", one_per_file).json(path)
     entries = F.from_json("optimization_history", T.ArrayType(T.StringType()))
     return runs.select(
         "run_id", "strategy", "base_score", "optimized_score", "improvement",
