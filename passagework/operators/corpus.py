@@ -42,15 +42,14 @@ def clean_corpus(df: DataFrame, text: str = "text", min_chars: int = MIN_TEXT_CH
     return keep_long_texts(clean_markup(raw, text), text, min_chars)
 
 
-def _with_chunks(df: DataFrame, pieces: Column, key: str, text: str) -> DataFrame:
+def _with_chunks(
+    df: DataFrame, pieces: Column, key: str, text: str, keep_empty: bool = False
+) -> DataFrame:
     rest = [c for c in df.columns if c not in (key, text)]
-    exploded = df.select(key, *rest, F.posexplode(pieces).alias("chunk_id", "chunk"))
-    return exploded.select(
-        F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_id").cast("string")).alias("id"),
-        "chunk_id",
-        *rest,
-        "chunk",
-    )
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    exploded = df.select(key, *rest, explode(pieces).alias("chunk_id", "chunk"))
+    parts = F.concat(F.col(key).cast("string"), F.lit("_"), F.col("chunk_id").cast("string"))
+    return exploded.select(parts.alias("id"), "chunk_id", *rest, "chunk")
 
 
 def fixed_chunks(
@@ -72,15 +71,16 @@ def fixed_chunks(
     return _with_chunks(df, pieces, key, text)
 
 
-def split_at_boundaries(text: str, size: int, overlap: int) -> list[str]:
-    """Cut one text at paragraph, line, word or, failing those, character boundaries.
+def boundary_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Start and end of the pieces of one text, cut at the coarsest boundary that fits.
 
     Each piece is a window of ``size`` characters cut back to its last paragraph
     break, else line break, else space, else not at all; a break inside the first
-    ``overlap`` characters does not count. The next piece starts at the first word
-    start within the last ``overlap`` characters of the piece, else at the cut.
+    ``overlap`` characters does not count. The next piece starts after the first
+    space or line break within the last ``overlap`` characters of the piece, else
+    at the cut.
     """
-    pieces = []
+    spans = []
     start = 0
     while len(text) - start > size:
         length = size
@@ -90,11 +90,16 @@ def split_at_boundaries(text: str, size: int, overlap: int) -> list[str]:
                 length = found + len(mark) - start
                 break
         cut = start + length
-        pieces.append(text[start:cut])
+        spans.append((start, cut))
         breaks = [i for i in (text.find(m, cut - overlap, cut) for m in "\n ") if i >= 0]
         start = min(breaks) + 1 if breaks else cut
-    pieces.append(text[start:])
-    return pieces
+    spans.append((start, len(text)))
+    return spans
+
+
+def split_at_boundaries(text: str, size: int, overlap: int) -> list[str]:
+    """The pieces of one text."""
+    return [text[start:end] for start, end in boundary_spans(text, size, overlap)]
 
 
 def boundary_chunks(
@@ -103,8 +108,12 @@ def boundary_chunks(
     text: str = "text",
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """One row per boundary-aware piece of each text; only the text crosses to Python."""
+    """One row per boundary-aware piece of each text; only the text crosses to Python.
+
+    A null text gives no row, or with ``keep_empty`` one row without id and chunk.
+    """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
 
@@ -112,4 +121,4 @@ def boundary_chunks(
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_at_boundaries(t, size, overlap), na_action="ignore")
 
-    return _with_chunks(df, pieces(F.col(text)), key, text)
+    return _with_chunks(df, pieces(F.col(text)), key, text, keep_empty)

@@ -82,6 +82,8 @@ def nearest_to(
 def _matrix(values) -> np.ndarray:
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         array = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+        if len(array) == 0:
+            return np.zeros((0, 0))
         flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return flat.reshape(len(array), -1)
     return np.stack([np.asarray(v, dtype=np.float64) for v in values])
@@ -166,6 +168,8 @@ def _scan_with_queries(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
+        if not query_ids:
+            return
         best = None
         for batch in batches:
             if batch.num_rows == 0:
@@ -198,7 +202,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class _Cells:
+class Cells:
     """Cells around pivot vectors; every array is indexed by cell and has at most CELLS rows."""
 
     pivots: np.ndarray
@@ -237,15 +241,28 @@ class _Cells:
         return chosen & (self.rows > 0)
 
 
+def _named(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    renamed = df.select(F.col(key).alias(name), F.col(vector).alias("vector"))
+    return renamed.filter(F.col("vector").isNotNull())
+
+
 def _with_direction(df: DataFrame) -> DataFrame:
     return df.filter(F.exists("vector", lambda x: x != 0))
 
 
-def _train_cells(index: DataFrame, cells: int) -> _Cells:
-    """Pick pivots (a bounded sample in hash order) and measure each cell."""
+def train_cells(
+    index: DataFrame, cells: int = CELLS, key: str = "id", vector: str = "vector"
+) -> Cells:
+    """Pick pivots (a bounded sample in hash order) and measure each cell.
+
+    Keep the result to look up an unchanged index again.
+    """
+    index = _with_direction(_named(index, key, vector, "id"))
     sample = index.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(cells)
     pivots = _unit(_matrix(sample.select("vector").toArrow().column("vector")))
-    empty = _Cells(pivots, np.zeros(len(pivots), np.int64), np.zeros(len(pivots)))
+    if len(pivots) == 0:
+        return Cells(pivots, np.zeros(0, np.int64), np.zeros(0))
+    empty = Cells(pivots, np.zeros(len(pivots), np.int64), np.zeros(len(pivots)))
     shared = index.sparkSession.sparkContext.broadcast(empty)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +284,7 @@ def _train_cells(index: DataFrame, cells: int) -> _Cells:
         .orderBy("cell")
         .toArrow()
     )
-    return _Cells(
+    return Cells(
         pivots,
         measured.column("rows").to_numpy().astype(np.int64),
         measured.column("radius").to_numpy().astype(np.float64),
@@ -283,7 +300,7 @@ def _join_by_cells(
     index: DataFrame,
     k: int,
     schema: T.StructType,
-    cells: int,
+    trained: Cells,
     probes: int | None,
     block_rows: int,
 ) -> DataFrame:
@@ -294,7 +311,6 @@ def _join_by_cells(
     returns at most k rows per query of the block.
     """
     index = _with_direction(index)
-    trained = _train_cells(index, cells)
     shared = index.sparkSession.sparkContext.broadcast(trained)
 
     @F.pandas_udf("int")
@@ -348,6 +364,10 @@ def _join_by_cells(
     return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(compare, schema)
 
 
+def _at_most(df: DataFrame, rows: int) -> bool:
+    return rows > 0 and df.select("query_id").limit(rows + 1).count() <= rows
+
+
 def knn_join(
     queries: DataFrame,
     index: DataFrame,
@@ -359,7 +379,7 @@ def knn_join(
     exclude_self: bool = False,
     probes: int | None = None,
     broadcast_queries: int = BROADCAST_QUERIES,
-    cells: int = CELLS,
+    cells: int | Cells = CELLS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest index rows of every query: (query_id, rank, id, score).
@@ -367,22 +387,26 @@ def knn_join(
     A question table of at most ``broadcast_queries`` rows and ``BROADCAST_BYTES``
     is sent to the index scan. A larger one is joined cell by cell. Both are
     exact; ``probes`` visits only that many cells per query and is approximate.
-    ``exclude_self`` leaves out the index row with the query's own id.
+    ``exclude_self`` leaves out the index row with the query's own id. ``cells`` is
+    a number of cells or the result of ``train_cells`` for this index.
     """
-    queries = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
-    index = index.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    queries = _named(queries, query_id, vector, "query_id")
+    index = _named(index, key, vector, "id")
     schema = _result_schema(queries.schema["query_id"].dataType, index.schema["id"].dataType)
     wanted = k + 1 if exclude_self else k
 
-    head = None
-    if probes is None and broadcast_queries > 0:
+    candidates = None
+    if probes is None and _at_most(queries, broadcast_queries):
         head = queries.limit(broadcast_queries + 1).toArrow()
-    if head is not None and head.num_rows == 0:
-        candidates = index.sparkSession.createDataFrame([], schema)
-    elif head is not None and head.num_rows <= broadcast_queries and 2 * head.nbytes <= BROADCAST_BYTES:
-        candidates = _scan_with_queries(head, index, wanted, schema)
-    else:
-        candidates = _join_by_cells(queries, index, wanted, schema, cells, probes, block_rows)
+        if head.num_rows <= broadcast_queries and 2 * head.nbytes <= BROADCAST_BYTES:
+            candidates = _scan_with_queries(head, index, wanted, schema)
+    if candidates is None:
+        trained = cells if isinstance(cells, Cells) else train_cells(index, cells)
+        if len(trained.rows) == 0:
+            return index.sparkSession.createDataFrame(
+                [], T.StructType([schema[0], T.StructField("rank", T.IntegerType()), *schema[1:]])
+            )
+        candidates = _join_by_cells(queries, index, wanted, schema, trained, probes, block_rows)
     if exclude_self:
         candidates = candidates.filter(F.col("id") != F.col("query_id"))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -14,6 +14,7 @@ from passagework.plans.registry import query
 from passagework.sources.tables import (
     append_runs,
     read_parquet,
+    read_program_files,
     read_run_files,
     work_dir,
 )
@@ -229,3 +230,32 @@ def run_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_dir(spark, "runs")
     record.select(line.alias("value")).write.text(path)
     return read_run_files(spark, path)
+
+
+_INSTRUCTIONS = "Answer from the passages."
+
+
+@query(
+    "SELECT conv_id || '/' || turn AS program, 'response_generator.predict' AS stage, "
+    f"'{_INSTRUCTIONS}' AS instructions, 0 AS position, true AS augmented, question, answer "
+    f"FROM ({twins.ANSWERED_TURNS})"
+)
+def program_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Few-shot programs with one demo each, written as JSON and read back as demo rows."""
+    stage = "response_generator.predict"
+    turns = answered_turns(read_parquet(spark, folder, "conversations"))
+    demo = F.struct(
+        F.lit(True).alias("augmented"), "question", "answer",
+        F.concat_ws("/", "conv_id", "turn").alias("reasoning"),
+    )
+    program = F.struct(
+        F.array(demo).alias("demos"),
+        F.struct(F.lit(_INSTRUCTIONS).alias("instructions")).alias("signature"),
+    )
+    path = work_dir(spark, "programs")
+    turns.select(program.alias(stage)).write.json(path)
+    demos = read_program_files(spark, path, [stage])
+    return demos.select(
+        F.col("reasoning").alias("program"), "stage", "instructions", "position", "augmented",
+        "question", "answer",
+    )

@@ -134,10 +134,12 @@ def read_run_files(spark: SparkSession, path: str, one_per_file: bool = False) -
     )
 
 
-def read_program_files(spark: SparkSession, path: str, stages: list[str]) -> DataFrame:
+def read_program_files(
+    spark: SparkSession, path: str, stages: list[str], one_per_file: bool = False
+) -> DataFrame:
     """Saved few-shot programs as one row per demo: (file, stage, position, demo fields)."""
     schema = T.StructType([T.StructField(stage, PROGRAM_STAGE) for stage in stages])
-    files = spark.read.schema(schema).option("multiLine", True).json(path).withColumn(
+    files = spark.read.schema(schema).option("multiLine", one_per_file).json(path).withColumn(
         "file", F.input_file_name()
     )
     per_stage = files.select(

@@ -1,19 +1,21 @@
 """Keep a chunk index in step with a growing folder of articles.
 
-Every micro-batch writes its changed chunks to its own folder of the index log,
-named by the batch number, so a replayed batch overwrites what it wrote before.
-Readers take the latest version of each article; ``compact`` folds the log.
+Every micro-batch writes its changed articles' chunks to its own folder of the
+index log, named by the batch number, so a replayed batch overwrites what it wrote
+before. Readers put the latest version of each changed article over the base
+table; ``compact_index`` folds the log into a new base.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from passagework.operators.changes import latest_versions
-from passagework.operators.corpus import boundary_chunks, clean_corpus
+from passagework.operators.corpus import MIN_TEXT_CHARS, boundary_chunks, clean_markup
 from passagework.plans.jobs import embed_words
 
 LOG_SCHEMA = T.StructType([
@@ -26,33 +28,25 @@ LOG_SCHEMA = T.StructType([
 ])
 
 
-def _log_path(folder: str) -> str:
-    return f"{folder}/log"
+FOLDED_SCHEMA = "through long"
 
 
 def index_batch(articles: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Chunks and vectors of the articles of one batch.
 
     With an ``order`` column only the last version of an article counts. An article
-    that is too short after cleaning leaves one row without chunk, which hides the
-    article's earlier chunks.
+    that is missing its text or too short after cleaning gives one row without
+    chunk, which hides the article's earlier chunks.
     """
     if order is not None:
         articles = latest_versions(articles, key, order)
-    articles = articles.select(F.col(key).alias("source_id"), "text")
-    chunks = boundary_chunks(
-        clean_corpus(articles).withColumn("key", F.col("source_id")), "key"
+    long_enough = F.when(F.length("text") >= MIN_TEXT_CHARS, F.col("text"))
+    texts = articles.select(
+        F.col(key).alias("source_id"), F.col(key).alias("key"), long_enough.alias("text")
     )
-    embedded = embed_words(chunks, "chunk")
-    kept = embedded.select("source_id", "id", "chunk_id", "chunk", "vector")
-    missing = articles.select("source_id").join(
-        clean_corpus(articles).select("source_id"), "source_id", "left_anti"
-    )
-    gone = missing.select(
-        "source_id",
-        *[F.lit(None).cast(LOG_SCHEMA[c].dataType).alias(c) for c in ("id", "chunk_id", "chunk", "vector")],
-    )
-    return kept.unionByName(gone)
+    cleaned = clean_markup(texts).withColumn("text", long_enough)
+    chunks = boundary_chunks(cleaned, "key", keep_empty=True)
+    return embed_words(chunks, "chunk").select(*[c for c in LOG_SCHEMA.names if c != "batch"])
 
 
 def sync_index(
@@ -66,7 +60,7 @@ def sync_index(
 
     def write(batch: DataFrame, number: int) -> None:
         index_batch(batch, key, order).write.mode("overwrite").parquet(
-            f"{_log_path(folder)}/batch={number}"
+            f"{folder}/log/batch={number}"
         )
 
     return (
@@ -77,12 +71,38 @@ def sync_index(
     )
 
 
+def _folded_through(spark: SparkSession, folder: str) -> int:
+    """The last batch that the current base table contains, -1 without a base."""
+    try:
+        folded = spark.read.schema(FOLDED_SCHEMA).json(f"{folder}/folded")
+    except AnalysisException:
+        return -1
+    last = folded.agg(F.max("through").alias("through")).first()["through"]
+    return -1 if last is None else last
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """The current index: the chunks of each article's latest batch."""
-    log = spark.read.schema(LOG_SCHEMA).parquet(_log_path(folder))
-    newest = log.groupBy("source_id").agg(F.max("batch").alias("batch"))
-    return (
-        log.join(newest, ["source_id", "batch"], "left_semi")
-        .filter(F.col("id").isNotNull())
-        .drop("batch")
-    )
+    through = _folded_through(spark, folder)
+    recent = spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/log").filter(F.col("batch") > through)
+    newest = recent.groupBy("source_id").agg(F.max("batch").alias("batch"))
+    current = recent.join(newest, ["source_id", "batch"], "left_semi").filter("id is not null")
+    if through < 0:
+        return current.drop("batch")
+    base = spark.read.parquet(f"{folder}/base/through={through}")
+    kept = base.join(newest, "source_id", "left_anti")
+    return kept.unionByName(current.drop("batch"))
+
+
+def compact_index(spark: SparkSession, folder: str) -> None:
+    """Write a new base that contains all batches so far, for cheaper reads.
+
+    The base counts only once it is noted in the list of folded batches, so a
+    failed attempt changes nothing.
+    """
+    log = spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/log")
+    through = log.agg(F.max("batch").alias("batch")).first()["batch"]
+    if through is None or through <= _folded_through(spark, folder):
+        return
+    read_index(spark, folder).write.mode("overwrite").parquet(f"{folder}/base/through={through}")
+    spark.createDataFrame([(through,)], FOLDED_SCHEMA).write.mode("append").json(f"{folder}/folded")
