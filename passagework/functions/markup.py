@@ -34,7 +34,7 @@ HEADING = rf"={{2,}}{SPACE_CLASS}*([^=]+){SPACE_CLASS}*={{2,}}"
 EMPHASIS = r"'{2,5}([^']+)'{2,5}"
 EMPTY_BRACKETS = rf"\[{SPACE_CLASS}*\]"
 EMPTY_PARENTHESES = rf"\({SPACE_CLASS}*\)"
-BLANK_RUN = r"[ \t]+"
+BLANK_RUN = r"[ \t]{2,}|\t"  # every run of blanks that is not already one space
 NON_PRINTABLE = r"[^\P{C}\n\t]|[^\P{Z} ]"
 MIN_LINE_CHARS = 3
 MIN_TEXT_CHARS = 100

@@ -54,28 +54,21 @@ def choose_demos(
     """
     order = order or [key]
     rows = scored.select(stage, key, score, *[c for c in order if c not in (stage, key, score)])
-    ranked = Window.partitionBy(stage).orderBy(*order)
-    generated = (
-        rows.filter(F.col(score) >= threshold)
-        .withColumn("position", F.row_number().over(ranked))
-        .filter(F.col("position") <= max_bootstrapped)
-        .withColumn("augmented", F.lit(True))
-    )
-    # At most max_bootstrapped rows per stage are taken, so the first
-    # max_bootstrapped + max_labeled rows hold all the labelled demos.
+    good = F.coalesce(F.col(score) >= threshold, F.lit(False))
+    # The first max_bootstrapped + max_labeled rows on each side of the threshold hold
+    # every demo, so the ranking below cuts a large stage before the shuffle.
+    by_side = Window.partitionBy(stage, "_good").orderBy(*order)
     early = (
-        rows.withColumn("position", F.row_number().over(ranked))
-        .filter(F.col("position") <= max_bootstrapped + max_labeled)
-        .drop("position")
+        rows.withColumn("_good", good)
+        .withColumn("_place", F.row_number().over(by_side))
+        .filter(F.col("_place") <= max_bootstrapped + max_labeled)
+        .withColumn("augmented", F.col("_good") & (F.col("_place") <= max_bootstrapped))
     )
-    labelled = (
-        early.join(generated.select(stage, key), [stage, key], "left_anti")
-        .withColumn("position", F.row_number().over(ranked))
-        .filter(F.col("position") <= max_labeled)
-        .withColumn("augmented", F.lit(False))
+    by_kind = Window.partitionBy(stage, "augmented").orderBy(*order)
+    placed = early.withColumn("position", F.row_number().over(by_kind))
+    return placed.filter(F.col("augmented") | (F.col("position") <= max_labeled)).select(
+        stage, "augmented", "position", key
     )
-    columns = [stage, "augmented", "position", key]
-    return generated.select(*columns).unionByName(labelled.select(*columns))
 
 
 def try_candidates(examples: DataFrame, candidates: list[str], name: str = "instruction") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from passagework.operators.changes import latest_versions
 from passagework.operators.corpus import MIN_TEXT_CHARS, boundary_chunks, clean_markup
 from passagework.plans.jobs import embed_words
+from passagework.sources.tables import spread
 
 LOG_SCHEMA = T.StructType([
     T.StructField("source_id", T.LongType()),
@@ -59,7 +60,7 @@ def sync_index(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        index_batch(batch, key, order).write.mode("overwrite").parquet(
+        index_batch(spread(batch, key), key, order).write.mode("overwrite").parquet(
             f"{folder}/log/batch={number}"
         )
 
