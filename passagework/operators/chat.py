@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.operators.positions import position_in_key
+from passagework.operators.positions import with_next
 
 
 def latest_prompt(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -18,41 +18,20 @@ def latest_prompt(messages: DataFrame, conversation: str = "conv_id", turn: str
 
 def history_pairs(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Messages paired by position, (0,1), (2,3) and so on; an odd last one is left out."""
-    placed = position_in_key(messages, conversation, turn)
-    first = F.col("position") % 2 == 0
-    pairs = placed.groupBy(
-        conversation, F.floor(F.col("position") / 2).alias("pair")
-    ).agg(
-        F.count("*").alias("_messages"),
-        F.max(F.when(first, F.col("text"))).alias("question"),
-        F.max(F.when(~first, F.col("text"))).alias("answer"),
+    followed = with_next(messages, conversation, turn, ["text"])
+    return followed.filter("position % 2 = 0 and next is not null").select(
+        conversation,
+        F.floor(F.col("position") / 2).alias("pair"),
+        F.col("text").alias("question"),
+        F.col("next.text").alias("answer"),
     )
-    return pairs.filter("_messages = 2").drop("_messages")
 
 
 def answered_turns(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Each user message that the assistant answers in the very next message.
-
-    Every message is offered to the slot it could open or close, so a slot groups
-    at most two rows and a conversation of any length is spread out.
-    """
-    placed = position_in_key(messages, conversation, turn)
-    slots = placed.filter(F.col("role").isin("user", "assistant")).select(
-        conversation,
-        F.when(F.col("role") == "user", F.col("position"))
-        .otherwise(F.col("position") - 1)
-        .alias("slot"),
-        F.when(F.col("role") == "user", F.struct(F.col(turn).alias("turn"), "text")).alias("asked"),
-        F.when(F.col("role") == "assistant", F.struct("text")).alias("answered"),
-    )
-    pairs = slots.groupBy(conversation, "slot").agg(
-        F.max("asked").alias("asked"), F.max("answered").alias("answered")
-    )
-    return pairs.filter("asked is not null and answered is not null").select(
-        conversation,
-        F.col("asked.turn").alias("turn"),
-        F.col("asked.text").alias("question"),
-        F.col("answered.text").alias("answer"),
+    """Each user message that the assistant answers in the very next message."""
+    followed = with_next(messages, conversation, turn, ["role", "text"])
+    return followed.filter("role = 'user' and next.role = 'assistant'").select(
+        conversation, turn, F.col("text").alias("question"), F.col("next.text").alias("answer")
     )
 
 

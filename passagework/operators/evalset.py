@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.text import is_blank, strip
 from passagework.operators.positions import position_in_table
+from passagework.operators.steps import settle
 
 # Document cap, row count and example limits.
 MAX_DOCUMENTS = 100
@@ -39,8 +40,9 @@ def allocate_evals(documents: DataFrame, key: str, num_evals: int) -> DataFrame:
     """Documents with the number of evaluation rows each gets, ``num_evals`` in total.
 
     Spread evenly; the remainder goes to the first documents in key order, and
-    documents that would get none are left out.
+    documents that would get none are left out. The key is a unique number.
     """
+    documents = documents.filter(F.col(key).isNotNull())
     total = documents.count()
     if total == 0:
         return documents.withColumn("evals", F.lit(0))
@@ -64,15 +66,16 @@ def question_rows(allocated: DataFrame, key: str, text: str) -> DataFrame:
     Offline stand-in for a question writer: each question asks about the opening
     words of a sentence, whose text is the fact; sentences are used in turn.
     """
-    facts = sentences(F.col(text))
-    numbered = allocated.filter(F.size(facts) > 0).select(
-        key,
-        F.explode(F.sequence(F.lit(0), F.col("evals") - 1)).alias("eval_no"),
-        facts.alias("_facts"),
+    listed = settle(allocated.select(key, "evals", text), "_facts", sentences(F.col(text)))
+    turns = F.transform(
+        F.sequence(F.lit(0), F.col("evals") - 1),
+        lambda n: F.element_at("_facts", (n % F.size("_facts") + 1).cast("int")),
     )
-    fact = F.element_at("_facts", (F.col("eval_no") % F.size("_facts") + 1).cast("int"))
-    opening = F.array_join(F.slice(F.split(F.col("fact"), " "), 1, 3), " ")
-    return numbered.select(key, "eval_no", fact.alias("fact")).select(
+    rows = listed.filter(F.size("_facts") > 0).select(
+        key, F.posexplode(turns).alias("eval_no", "fact")
+    )
+    opening = F.array_join(F.slice(F.split("fact", " "), 1, 3), " ")
+    return rows.select(
         key, "eval_no", F.concat(F.lit("What about "), opening, F.lit("?")).alias("question"), "fact"
     )
 

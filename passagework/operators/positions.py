@@ -7,7 +7,7 @@ per bucket carries what the earlier buckets contribute.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer, QuantileDiscretizer
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,8 +15,23 @@ from pyspark.sql import Window
 BUCKET_WIDTH = 4096
 
 
-def _before(*order: str):
-    return Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+def _bucketed(df: DataFrame, key: str, order: str, width: int) -> DataFrame:
+    """Rows with their bucket. A row without key or ordinal has no place and is left out."""
+    placeable = df.filter(F.col(key).isNotNull() & F.col(order).isNotNull())
+    return placeable.withColumn("_bucket", F.floor(F.col(order) / width))
+
+
+def _offsets(bucketed: DataFrame, key: str) -> DataFrame:
+    """One row per bucket: rows in the key's earlier buckets, and its next bucket."""
+    counts = bucketed.groupBy(key, "_bucket").agg(F.count("*").alias("_rows"))
+    by_key = Window.partitionBy(key).orderBy("_bucket")
+    earlier = F.sum("_rows").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(
+        key,
+        "_bucket",
+        F.coalesce(earlier, F.lit(0)).alias("_offset"),
+        F.lead("_bucket").over(by_key).alias("_next_bucket"),
+    )
 
 
 def position_in_key(
@@ -27,33 +42,54 @@ def position_in_key(
     ``order`` is an ordinal such as a turn number, unique within the key. A task
     ranks at most one bucket of ``width`` ordinals of one key.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / width))
-    counts = bucketed.groupBy(key, "_bucket").agg(F.count("*").alias("_rows"))
-    offsets = counts.select(
-        key,
-        "_bucket",
-        F.coalesce(
-            F.sum("_rows").over(_before("_bucket").partitionBy(key)), F.lit(0)
-        ).alias("_offset"),
-    )
+    bucketed = _bucketed(df, key, order, width)
     within = Window.partitionBy(key, "_bucket").orderBy(order)
     return (
-        bucketed.join(offsets, [key, "_bucket"])
+        bucketed.join(_offsets(bucketed, key), [key, "_bucket"])
         .withColumn(name, F.col("_offset") + F.row_number().over(within) - 1)
-        .drop("_bucket", "_offset")
+        .drop("_bucket", "_offset", "_next_bucket")
     )
 
 
+def with_next(
+    df: DataFrame, key: str, order: str, columns: list[str], width: int = BUCKET_WIDTH
+) -> DataFrame:
+    """Add each row's ``position`` in its key, and ``next``, the given columns of the row after.
+
+    The rows are shuffled once. Only a bucket's last row looks further, into the
+    first row of the key's next bucket.
+    """
+    bucketed = _bucketed(df, key, order, width)
+    offsets = _offsets(bucketed, key)
+    within = Window.partitionBy(key, "_bucket").orderBy(order)
+    row = F.struct(*columns)
+    placed = (
+        bucketed.join(offsets, [key, "_bucket"])
+        .withColumn("position", F.col("_offset") + F.row_number().over(within) - 1)
+        .withColumn("next", F.lead(row).over(within))
+    )
+    at_edge = F.col("next").isNull() & F.col("_next_bucket").isNotNull()
+    starts = (
+        bucketed.join(offsets.filter("_offset > 0").select(key, "_bucket"), [key, "_bucket"], "left_semi")
+        .groupBy(key, F.col("_bucket").alias("_next_bucket"))
+        .agg(F.min_by(row, order).alias("next"))
+    )
+    edges = placed.filter(at_edge).drop("next").join(starts, [key, "_next_bucket"])
+    kept = [*df.columns, "position", "next"]
+    return placed.filter(~at_edge).select(*kept).unionByName(edges.select(*kept))
+
+
 def best_before(
     df: DataFrame, key: str, order: str, value: str, name: str, width: int = BUCKET_WIDTH
 ) -> DataFrame:
     """Add the largest ``value`` among the rows of the key that come earlier in order."""
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    bucketed = _bucketed(df, key, order, width)
     peaks = bucketed.groupBy(key, "_bucket").agg(F.max(value).alias("_peak"))
+    by_key = Window.partitionBy(key).orderBy("_bucket")
     earlier = peaks.select(
         key,
         "_bucket",
-        F.max("_peak").over(_before("_bucket").partitionBy(key)).alias("_earlier"),
+        F.max("_peak").over(by_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
     )
     within = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
@@ -71,19 +107,24 @@ def position_in_table(
     """Add the 0-based position of each row in the whole table.
 
     The buckets are quantiles of the (unique, numeric) order column, so they hold
-    similar row counts whatever its distribution. Their number follows the session's shuffle
-    partitions, so the offset table is small and one bucket is one task's work.
+    similar row counts whatever its distribution. Their number follows the session's
+    shuffle partitions, so the offset table is small and one bucket is one task's
+    work. Rows without a key are left out.
     """
     if buckets is None:
         buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = df.select(F.col(order).cast("double").alias("_order"))
-    model: Bucketizer = QuantileDiscretizer(
+    numbered = df.filter(F.col(order).isNotNull()).withColumn("_order", F.col(order).cast("double"))
+    quantiles = QuantileDiscretizer(
         numBuckets=buckets, inputCol="_order", outputCol="_bucket", relativeError=0.1 / buckets
-    ).fit(keys)
-    bucketed = model.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+    ).fit(numbered.select("_order"))
+    bucketed = (
+        quantiles.transform(numbered)
+        .drop("_order")
+        .withColumn("_bucket", F.col("_bucket").cast("int"))
+    )
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("_bucket").agg(F.count("*").alias("_rows")).select(
-        "_bucket",
-        F.coalesce(F.sum("_rows").over(_before("_bucket")), F.lit(0)).alias("_offset"),
+        "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
     within = Window.partitionBy("_bucket").orderBy(order)
     return (

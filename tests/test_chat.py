@@ -1,5 +1,10 @@
 from passagework.operators.chat import answered_turns, history_pairs, latest_prompt, reply_rows
-from passagework.operators.positions import best_before, position_in_key, position_in_table
+from passagework.operators.positions import (
+    best_before,
+    position_in_key,
+    position_in_table,
+    with_next,
+)
 
 SCHEMA = "conv_id int, turn long, role string, text string"
 
@@ -66,3 +71,12 @@ def test_reply_ids_repeat(spark):
     answers = spark.createDataFrame([(1, 4, "text")], "conv_id int, turn long, answer string")
     first, again = reply_rows(answers).first(), reply_rows(answers).first()
     assert first == again and first["turn"] == 5 and first["role"] == "assistant"
+
+
+def test_next_row_across_bucket_edges(spark):
+    rows = [("a", 5 * i, f"m{i}") for i in range(50)] + [("b", 0, "only")]
+    frame = spark.createDataFrame(rows, "k string, n long, text string").repartition(4)
+    for width in (3, 10, 1000):
+        got = with_next(frame, "k", "n", ["text"], width=width).orderBy("k", "n").collect()
+        assert [r["next"] and r["next"]["text"] for r in got] == [f"m{i}" for i in range(1, 50)] + [None, None]
+        assert [r["position"] for r in got] == list(range(50)) + [0]
