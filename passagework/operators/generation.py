@@ -102,33 +102,31 @@ def keyword_query(question: Column) -> Column:
     return F.array_join(keywords(question), " ")
 
 
-def cite_best_passage(
-    passages: DataFrame,
-    question_id: str = "query_id",
-    question: str = "question",
-    rank: str = "rank",
-    text: str = "chunk",
+def with_candidate_answers(
+    passages: DataFrame, question: str = "question", rank: str = "rank", text: str = "chunk"
 ) -> DataFrame:
-    """Offline stand-in for the answer model: (question id, answer).
+    """Offline stand-in for the answer model: adds ``candidate`` and ``merit`` per passage.
 
-    Takes the passage that names most of the question's keywords, the better
-    ranked one on a tie, and answers with its first line and its citation.
+    A passage's candidate answer is its first line and its citation. Its merit is
+    the number of the question's keywords it names, then its rank.
     """
-    terms = settle(
+    ready = settle(
         passages,
         "_asked",
         F.struct(keywords(F.col(question)).alias("terms"), F.lower(text).alias("passage")),
     )
-    named = F.size(
-        F.filter("_asked.terms", lambda t: F.contains(F.col("_asked.passage"), t))
-    )
+    named = F.size(F.filter("_asked.terms", lambda t: F.contains(F.col("_asked.passage"), t)))
     line = strip(F.split(strip(F.col(text)), "\n")[0])
-    scored = terms.select(
-        question_id,
-        F.struct(named.alias("named"), (-F.col(rank)).alias("order")).alias("merit"),
-        F.concat(line, F.lit(" ["), F.col(rank).cast("string"), F.lit("]")).alias("answer"),
+    return (
+        ready.withColumn("merit", F.struct(named.alias("named"), (-F.col(rank)).alias("order")))
+        .withColumn("candidate", F.concat(line, F.lit(" ["), F.col(rank).cast("string"), F.lit("]")))
+        .drop("_asked")
     )
-    return scored.groupBy(question_id).agg(F.max_by("answer", "merit").alias("answer"))
+
+
+def best_candidate_answer() -> Column:
+    """The aggregate that picks the candidate answer with the highest merit."""
+    return F.max_by("candidate", "merit")
 
 
 def parse_judge(replies: DataFrame, name: str = "judge_score") -> DataFrame:

@@ -64,7 +64,7 @@ def test_streamed_answers_equal_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(questions.schema).parquet(source)
     answer_stream(stream, chunks, folder, k=2).awaitTermination()
     streamed = sorted(map(tuple, read_answers(spark, folder).select("query_id", "context", "answer").collect()))
-    batch = answer_job(questions, chunks, str(tmp_path / "batch"), k=2)
+    batch = answer_job(questions, chunks, k=2)
     assert streamed == sorted(map(tuple, batch.select("query_id", "context", "answer").collect()))
     answers = {q: a for q, _, a in streamed}
     assert answers["a"].endswith("[1]") and answers["c"].startswith("I couldn't find")
