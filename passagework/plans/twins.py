@@ -27,12 +27,13 @@ def line_filter(x: str) -> str:
 
 
 def clean(x: str) -> str:
-    """The cleaning rules; of all entities only the four that the pages hold."""
+    """The cleaning rules; of all entities only those that the tables hold."""
     q = "''"
     steps = [
         (r"<[^>]+>", ""),
-        ("&middot;", chr(0xB7)), ("&copy;", chr(0xA9)), ("&quot;", '"'), ("&lt;", "<"),
-        ("&gt;", ">"), ("&amp;", "&"),
+        # These names are also decoded when a page cuts off their semicolon.
+        ("&middot;?", chr(0xB7)), ("&copy;?", chr(0xA9)), ("&quot;?", '"'), ("&lt;?", "<"),
+        ("&gt;?", ">"), ("&amp;?", "&"),
         (r"\{\{[^}]*\}\}", ""),
         (r"\[\[([^|\]]+)\|([^\]]+)\]\]", r"\2"),
         (r"\[\[([^\]]+)\]\]", r"\1"),

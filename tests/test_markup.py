@@ -31,6 +31,7 @@ CASES = [
     ("abc", ""),
     ("A &amp;quot; B", "A &quot; B"),
     ("Fish &amp; chips&nbsp;&eacute;t&#233;", "Fish & chipsété"),
+    ("Cut &ampoff &copyright", "Cut &off ©right"),
     ("tab\tand  spaces", "tab and spaces"),
     ("zero​width and   line", "zerowidth and line"),
 ]
