@@ -15,6 +15,7 @@ from typing import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -209,6 +210,10 @@ class Cells:
     rows: np.ndarray
     radius: np.ndarray
 
+    def broadcast(self, df: DataFrame) -> Broadcast:
+        """The arrays, sent to every executor once; rebuild with ``Cells(*value)``."""
+        return df.sparkSession.sparkContext.broadcast((self.pivots, self.rows, self.radius))
+
     def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         distance = self.distances(vectors)
         cell = distance.argmin(axis=1)
@@ -263,13 +268,13 @@ def train_cells(
     if len(pivots) == 0:
         return Cells(pivots, np.zeros(0, np.int64), np.zeros(0))
     empty = Cells(pivots, np.zeros(len(pivots), np.int64), np.zeros(len(pivots)))
-    shared = index.sparkSession.sparkContext.broadcast(empty)
+    shared = empty.broadcast(index)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
         for batch in batches:
             if batch.num_rows:
-                cell, distance = shared.value.assign(_matrix(batch.column("vector")))
+                cell, distance = Cells(*shared.value).assign(_matrix(batch.column("vector")))
                 np.add.at(rows, cell, 1)
                 np.maximum.at(radius, cell, distance)
         yield pa.RecordBatch.from_pydict(
@@ -311,15 +316,15 @@ def _join_by_cells(
     returns at most k rows per query of the block.
     """
     index = _with_direction(index)
-    shared = index.sparkSession.sparkContext.broadcast(trained)
+    shared = trained.broadcast(index)
 
     @F.pandas_udf("int")
     def cell_of(vectors: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.assign(_matrix(vectors))[0])
+        return pd.Series(Cells(*shared.value).assign(_matrix(vectors))[0])
 
     @F.pandas_udf("array<int>")
     def cells_for(vectors: pd.Series) -> pd.Series:
-        matrix, model = _matrix(vectors), shared.value
+        matrix, model = _matrix(vectors), Cells(*shared.value)
         chosen = model.reachable(matrix, k) if probes is None else model.closest(matrix, probes)
         return pd.Series([np.flatnonzero(row).astype(np.int32) for row in chosen])
 
