@@ -29,8 +29,10 @@ BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 64 << 20
 # Rows of queries and of index vectors that one task compares at a time.
 BLOCK_ROWS = 8192
-QUERY_STEP = 1024
-CELLS = 64
+QUERY_STEP = 256
+# Vector values gathered at a time when single pairs are scored.
+PAIR_VALUES = 1 << 22
+MAX_CELLS = 256
 SCORE_UNITS = 1_000_000_000
 _SLACK = 1e-6
 
@@ -90,9 +92,17 @@ def _matrix(values) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in values])
 
 
+def _top(query: np.ndarray, tie: np.ndarray, units: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the best k candidates of every query, ties to the smaller ``tie``."""
+    order = np.lexsort((tie, -units, query))
+    ranked = query[order]
+    place = np.arange(len(order)) - np.searchsorted(ranked, ranked, side="left")
+    return order[place < k]
+
+
 @dataclass
 class _Best:
-    """Best candidates per query so far; ``query`` and ``units`` are parallel to ``ids``."""
+    """Best candidates per query so far; the three arrays are parallel."""
 
     query: np.ndarray
     ids: np.ndarray
@@ -102,44 +112,53 @@ class _Best:
         query = np.concatenate([self.query, other.query])
         ids = np.concatenate([self.ids, other.ids])
         units = np.concatenate([self.units, other.units])
-        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -units, query))
-        query = query[order]
-        first = np.searchsorted(query, query, side="left")
-        keep = order[np.arange(len(order)) - first < k]
-        return _Best(
-            np.concatenate([self.query, other.query])[keep], ids[keep], units[keep]
-        )
+        keep = _top(query, np.unique(ids, return_inverse=True)[1], units, k)
+        return _Best(query[keep], ids[keep], units[keep])
+
+
+def _pair_dots(
+    left: np.ndarray, right: np.ndarray, row: np.ndarray, column: np.ndarray
+) -> np.ndarray:
+    """Dot products of the given pairs; many copies of a vector make many pairs, so in slices."""
+    step = max(1, PAIR_VALUES // max(1, left.shape[1]))
+    parts = [
+        np.einsum("ij,ij->i", left[row[i:i + step]], right[column[i:i + step]])
+        for i in range(0, len(row), step)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def _block_best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> _Best:
-    """Best k index rows per query row, exact, with ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    n = len(ids)
+    """Best k index rows per query row, exact, with ties to the smaller id.
+
+    A single-precision product finds every pair that can be among the best k: its
+    error is bounded, so pairs below the k-th value minus twice that bound are out.
+    Only the pairs that remain are scored in double precision.
+    """
     query_squares = np.einsum("ij,ij->i", queries, queries)
     squares = np.einsum("ij,ij->i", vectors, vectors)
-    found_query, found_pos, found_units = [], [], []
-    for start in range(0, len(queries), QUERY_STEP):
-        part = queries[start:start + QUERY_STEP]
-        norms = np.sqrt(query_squares[start:start + QUERY_STEP, None] * squares[None, :])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            units = np.rint(part @ vectors.T / norms * SCORE_UNITS)
-        usable = norms > 0
-        # One integer per pair orders by score and then by position, without ties.
-        rank = np.where(usable, units, -2.0 * SCORE_UNITS).astype(np.int64) * n
-        rank += np.arange(n - 1, -1, -1)
-        top = min(k, n)
-        columns = np.argpartition(-rank, top - 1, axis=1)[:, :top]
-        rows = np.repeat(np.arange(len(part)), top)
-        columns = columns.ravel()
-        real = usable[rows, columns]
-        rows, columns = rows[real], columns[real]
-        found_query.append(rows + start)
-        found_pos.append(columns)
-        found_units.append(units[rows, columns].astype(np.int64))
-    return _Best(
-        np.concatenate(found_query), ids[np.concatenate(found_pos)], np.concatenate(found_units)
-    )
+    asked, usable = np.flatnonzero(query_squares > 0), np.flatnonzero(squares > 0)
+    usable = usable[np.argsort(ids[usable], kind="stable")]
+    none = np.zeros(0, dtype=np.int64)
+    if len(asked) == 0 or len(usable) == 0:
+        return _Best(none, ids[none], none)
+    unit = (vectors[usable] / np.sqrt(squares[usable, None])).astype(np.float32).T
+    slack = 2 * (vectors.shape[1] + 4) * float(np.finfo(np.float32).eps)
+    n, found = len(usable), []
+    for start in range(0, len(asked), QUERY_STEP):
+        rows = asked[start:start + QUERY_STEP]
+        near = (queries[rows] / np.sqrt(query_squares[rows, None])).astype(np.float32) @ unit
+        if n > k:
+            kth = np.partition(near, n - k, axis=1)[:, n - k]
+            row, column = np.nonzero(near >= (kth - slack)[:, None])
+        else:
+            row, column = (x.ravel() for x in np.indices(near.shape))
+        query, position = rows[row], usable[column]
+        dots = _pair_dots(queries, vectors, query, position)
+        units = np.rint(dots / np.sqrt(query_squares[query] * squares[position]) * SCORE_UNITS)
+        keep = _top(query, column, units, k)
+        found.append((query[keep], ids[position[keep]], units[keep].astype(np.int64)))
+    return _Best(*(np.concatenate(parts) for parts in zip(*found)))
 
 
 def _ids(values, kind: T.DataType) -> np.ndarray:
@@ -204,7 +223,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """Cells around pivot vectors; every array is indexed by cell and has at most CELLS rows."""
+    """Cells around pivot vectors; every array is indexed by cell and has at most MAX_CELLS rows."""
 
     pivots: np.ndarray
     rows: np.ndarray
@@ -256,13 +275,21 @@ def _with_direction(df: DataFrame) -> DataFrame:
 
 
 def train_cells(
-    index: DataFrame, cells: int = CELLS, key: str = "id", vector: str = "vector"
+    index: DataFrame,
+    cells: int | None = None,
+    key: str = "id",
+    vector: str = "vector",
+    block_rows: int = BLOCK_ROWS,
 ) -> Cells:
     """Pick pivots (a bounded sample in hash order) and measure each cell.
 
-    Keep the result to look up an unchanged index again.
+    By default there is a cell per block of rows, up to ``MAX_CELLS``: smaller cells
+    would cost more in candidates than they save. Keep the result to look up an
+    unchanged index again.
     """
     index = _with_direction(_named(index, key, vector, "id"))
+    if cells is None:
+        cells = min(MAX_CELLS, max(1, math.ceil(index.count() / block_rows)))
     sample = index.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(cells)
     pivots = _unit(_matrix(sample.select("vector").toArrow().column("vector")))
     if len(pivots) == 0:
@@ -384,7 +411,7 @@ def knn_join(
     exclude_self: bool = False,
     probes: int | None = None,
     broadcast_queries: int = BROADCAST_QUERIES,
-    cells: int | Cells = CELLS,
+    cells: int | Cells | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest index rows of every query: (query_id, rank, id, score).
@@ -393,7 +420,7 @@ def knn_join(
     is sent to the index scan. A larger one is joined cell by cell. Both are
     exact; ``probes`` visits only that many cells per query and is approximate.
     ``exclude_self`` leaves out the index row with the query's own id. ``cells`` is
-    a number of cells or the result of ``train_cells`` for this index.
+    the result of ``train_cells`` for this index, or a number of cells.
     """
     queries = _named(queries, query_id, vector, "query_id")
     index = _named(index, key, vector, "id")
@@ -406,7 +433,9 @@ def knn_join(
         if head.num_rows <= broadcast_queries and 2 * head.nbytes <= BROADCAST_BYTES:
             candidates = _scan_with_queries(head, index, wanted, schema)
     if candidates is None:
-        trained = cells if isinstance(cells, Cells) else train_cells(index, cells)
+        trained = cells
+        if not isinstance(trained, Cells):
+            trained = train_cells(index, cells, block_rows=block_rows)
         if len(trained.rows) == 0:
             return index.sparkSession.createDataFrame(
                 [], T.StructType([schema[0], T.StructField("rank", T.IntegerType()), *schema[1:]])

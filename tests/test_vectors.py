@@ -150,3 +150,18 @@ def test_keys_must_be_unique(spark):
     with pytest.raises(ValueError):
         require_unique(frame, "id")
     assert require_unique(frame.distinct(), "id").count() == 2
+
+
+def test_pairs_are_scored_in_slices(monkeypatch):
+    from passagework.operators import vectors
+
+    rng = np.random.default_rng(3)
+    block = np.concatenate([rng.normal(size=(40, 8)), np.tile(rng.normal(size=8), (200, 1))])
+    ids = rng.permutation(240)
+    whole = vectors._block_best(block, ids, block, 5)
+    monkeypatch.setattr(vectors, "PAIR_VALUES", 100)
+    sliced = vectors._block_best(block, ids, block, 5)
+    assert (whole.ids == sliced.ids).all() and (whole.units == sliced.units).all()
+    expected = brute_force(list(enumerate(block)), list(zip(ids.tolist(), block)), 5)
+    got = {q: whole.ids[whole.query == q].tolist() for q in range(240)}
+    assert got == expected
