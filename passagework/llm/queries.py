@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from passagework.llm import (
     bpe,
     decontaminate,
+    neardup,
     quality_classifier,
     quality_rules,
     secrets,
+    substrings,
     urls,
+    warc,
+    windows,
 )
 from passagework.llm.sql import TWINS
 from passagework.sources.tables import read_parquet
@@ -58,9 +63,36 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.digest(quality_classifier.scored(docs, labels))
 
 
+@query
+def op6_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """The second replica has a changed last byte in every page whose length divides by 97."""
+    body = F.col("body")
+    damage = F.when(
+        body.endswith(">") & (F.length(body) % 97 == 0),
+        F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit("?")),
+    ).otherwise(body)
+    found = warc.audited(read_parquet(spark, folder, "pages"), damage)
+    return found.withColumnRenamed("_id", "page_id")
+
+
+@query
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.digest(neardup.near_duplicates(read_parquet(spark, folder, "documents")))
+
+
 @query
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.digest(urls.judged(read_parquet(spark, folder, "pages")))
 
 
+@query
+def op9_substring_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.digest(windows.without_repeats(read_parquet(spark, folder, "documents")))
+
+
+@query
+def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digest(substrings.without_repeats(read_parquet(spark, folder, "documents")))
+
+
 ORACLES = {name: TWINS[name] for name in QUERIES if name in TWINS}
