@@ -240,7 +240,11 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
             )
 
     stretches = save(contexts.mapInArrow(run, f"_id {kind}, _key long, gram long, start int, one long, two long"), "stretches")
-    often = stretches.groupBy("gram", "one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # A stretch that lies around two members of one text counts once.
+    place = F.struct("_id", "_key", "start")
+    often = stretches.groupBy("gram", "one", "two").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(
+        "not (low <=> high)"
+    ).drop("low", "high")
     return stretches.join(often, ["gram", "one", "two"]).select(
         "_id", "_key", F.array("start").alias("starts"), F.array(F.col("start") + length).alias("ends")
     )
