@@ -49,7 +49,9 @@ def _with_chunks(
     explode = F.posexplode_outer if keep_empty else F.posexplode
     exploded = df.select(key, *rest, explode(pieces).alias("chunk_id", "chunk"))
     parts = F.concat(F.col(key).cast("string"), F.lit("_"), F.col("chunk_id").cast("string"))
-    return exploded.select(parts.alias("id"), "chunk_id", *rest, "chunk")
+    # The chunk stands where the text stood; the other columns keep their order.
+    kept = ["chunk" if c == text else c for c in df.columns if c != key]
+    return exploded.select(parts.alias("id"), "chunk_id", *kept)
 
 
 def fixed_chunks(

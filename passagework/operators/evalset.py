@@ -36,13 +36,17 @@ def eval_documents(
     )
 
 
-def allocate_evals(documents: DataFrame, key: str, num_evals: int) -> DataFrame:
+def allocate_evals(documents: DataFrame, key: str, num_evals: int, text: str | None = None) -> DataFrame:
     """Documents with the number of evaluation rows each gets, ``num_evals`` in total.
 
     Spread evenly; the remainder goes to the first documents in key order, and
-    documents that would get none are left out. The key is a unique number.
+    documents that would get none are left out. The key is unique and of any ordered
+    type. With a ``text`` column only documents with a sentence count, so that every
+    allotted row can be written.
     """
     documents = documents.filter(F.col(key).isNotNull())
+    if text is not None:
+        documents = documents.filter(F.size(sentences(F.col(text))) > 0)
     total = documents.count()
     if total == 0:
         return documents.withColumn("evals", F.lit(0))

@@ -29,7 +29,6 @@ REWRITE_FIELDS = {
     "original_question": "Original Question:",
     "rewritten_query": "Rewritten Query:",
 }
-MAX_DEMOS = 64
 _DIVIDER = "\n\n---\n\n"
 
 JUDGE_REPLY = T.StructType([
@@ -51,8 +50,6 @@ def render_prompt(
     ``fields`` maps every field to its label; a field without an input is the one
     to be generated and ends the prompt with its label.
     """
-    if len(demos) > MAX_DEMOS:
-        raise ValueError(f"at most {MAX_DEMOS} demos fit a prompt")
     shown = [
         "\n".join(f"{label} {demo[name]}" for name, label in fields.items() if name in demo)
         for demo in demos

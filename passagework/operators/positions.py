@@ -7,12 +7,12 @@ per bucket carries what the earlier buckets contribute.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 BUCKET_WIDTH = 4096
+SAMPLE_PER_BUCKET = 32
 
 
 def _bucketed(df: DataFrame, key: str, order: str, width: int) -> DataFrame:
@@ -56,8 +56,7 @@ def with_next(
 ) -> DataFrame:
     """Add each row's ``position`` in its key, and ``next``, the given columns of the row after.
 
-    The rows are shuffled once. Only a bucket's last row looks further, into the
-    first row of the key's next bucket.
+    Only a bucket's last row looks further, into the first row of the key's next bucket.
     """
     bucketed = _bucketed(df, key, order, width)
     offsets = _offsets(bucketed, key)
@@ -106,22 +105,21 @@ def position_in_table(
 ) -> DataFrame:
     """Add the 0-based position of each row in the whole table.
 
-    The buckets are quantiles of the (unique, numeric) order column, so they hold
-    similar row counts whatever its distribution. Their number follows the session's
-    shuffle partitions, so the offset table is small and one bucket is one task's
-    work. Rows without a key are left out.
+    The order column is unique and of any ordered type. Its values are cut into buckets at
+    quantiles of a bounded sample in hash order, so buckets hold similar row counts
+    whatever the distribution. Their number follows the session's shuffle partitions, so
+    the offset table is small and one bucket is one task's work. Rows without a key are
+    left out.
     """
     if buckets is None:
         buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    numbered = df.filter(F.col(order).isNotNull()).withColumn("_order", F.col(order).cast("double"))
-    quantiles = QuantileDiscretizer(
-        numBuckets=buckets, inputCol="_order", outputCol="_bucket", relativeError=0.1 / buckets
-    ).fit(numbered.select("_order"))
-    bucketed = (
-        quantiles.transform(numbered)
-        .drop("_order")
-        .withColumn("_bucket", F.col("_bucket").cast("int"))
-    )
+    keyed = df.filter(F.col(order).isNotNull())
+    sample = keyed.select(order).orderBy(F.xxhash64(order), order).limit(SAMPLE_PER_BUCKET * buckets)
+    values = sorted(row[0] for row in sample.collect())
+    kind = df.schema[order].dataType
+    cuts = [F.lit(values[i * len(values) // buckets]).cast(kind) for i in range(1, buckets)] if values else []
+    bucket = F.size(F.filter(F.array(*cuts), lambda cut: cut <= F.col(order))) if cuts else F.lit(0)
+    bucketed = keyed.withColumn("_bucket", bucket)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("_bucket").agg(F.count("*").alias("_rows")).select(
         "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")

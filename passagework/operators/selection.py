@@ -13,7 +13,6 @@ MAX_BOOTSTRAPPED_DEMOS = 2
 MAX_LABELED_DEMOS = 1
 DEMO_THRESHOLD = 0.3
 DETAILED_EXAMPLES = 3
-MAX_CANDIDATES = 1000
 
 
 def compare_programs(scores: DataFrame, program: str, score: str) -> DataFrame:
@@ -73,8 +72,6 @@ def choose_demos(
 
 def try_candidates(examples: DataFrame, candidates: list[str], name: str = "instruction") -> DataFrame:
     """Every example once per candidate instruction: adds candidate_id and the text."""
-    if len(candidates) > MAX_CANDIDATES:
-        raise ValueError(f"at most {MAX_CANDIDATES} candidates")
     options = F.array(*[
         F.struct(F.lit(i).alias("candidate_id"), F.lit(text).alias(name))
         for i, text in enumerate(candidates)
@@ -99,14 +96,20 @@ def accept_stages(
 ) -> DataFrame:
     """Add the usable score, the best score before each stage, and whether it was accepted.
 
-    A failed stage scores 0. A stage is accepted when it succeeded and beats every
-    earlier stage strictly; the first stage of a run is its baseline.
+    A failed stage scores 0, and a score that is not a number counts as failure. A stage
+    is accepted when it succeeded and beats every earlier stage strictly; the first stage
+    of a run is its baseline. A stage without run or number has no place in an order: it
+    is returned with nothing before it and is never accepted.
     """
     succeeded = F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))
-    scored = runs.withColumn("ok", succeeded).withColumn(
+    number = ~F.coalesce(F.isnan(F.col(score).cast("double")), F.lit(False))
+    scored = runs.withColumn("ok", succeeded & number).withColumn(
         "stage_score", F.when(F.col("ok"), F.coalesce(F.col(score), F.lit(0.0))).otherwise(0.0)
     )
-    ranked = best_before(scored, run, stage_no, "stage_score", "best_before")
+    placed = F.col(run).isNotNull() & F.col(stage_no).isNotNull()
+    ranked = best_before(scored.filter(placed), run, stage_no, "stage_score", "best_before").unionByName(
+        scored.filter(~placed).withColumn("best_before", F.lit(None).cast("double"))
+    )
     return ranked.withColumn(
         "accepted",
         F.coalesce(F.col("ok") & (F.col("stage_score") > F.col("best_before")), F.lit(False)),

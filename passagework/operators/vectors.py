@@ -1,7 +1,8 @@
 """Vectors, the vector index table, and nearest-neighbour lookups.
 
-Similarity is the cosine. A vector of length zero has no direction: it is never
-retrieved, and a query without direction retrieves nothing. Scores are compared
+Similarity is the cosine. A vector of length zero, or with an element that is null or not
+finite, has no direction: it is never retrieved, and a query without direction retrieves
+nothing. Vectors of another length than the query's raise an error. Scores are compared
 after rounding to nine digits and ties go to the smaller id, so the result does
 not depend on how the work was divided.
 """
@@ -32,9 +33,10 @@ BLOCK_ROWS = 8192
 QUERY_STEP = 256
 # Vector values gathered at a time when single pairs are scored.
 PAIR_VALUES = 1 << 22
-MAX_CELLS = 256
 SCORE_UNITS = 1_000_000_000
-_SLACK = 1e-6
+# Cosines that round to the same score may differ by one unit; distances carry rounding errors.
+_COSINE_SLACK = 2 / SCORE_UNITS
+_DISTANCE_SLACK = 1e-7
 
 
 def embed(
@@ -76,7 +78,8 @@ def nearest_to(
     """Index rows nearest to one query vector, with their other columns and a score."""
     literal = F.array(*[F.lit(float(x)) for x in query])
     scored = index.withColumn("score", F.round(cosine(F.col(vector), literal), 9)).drop(vector)
-    return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(k)
+    usable = F.col("score").isNotNull() & ~F.isnan("score")
+    return scored.filter(usable).orderBy(F.desc("score"), key).limit(k)
 
 
 # --- the kernel: best k of a block of index vectors for a block of queries ----
@@ -88,6 +91,9 @@ def _matrix(values) -> np.ndarray:
         if len(array) == 0:
             return np.zeros((0, 0))
         flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        lengths = np.diff(array.offsets.to_numpy())
+        if (lengths != lengths[0]).any():
+            raise ValueError("vectors of different lengths")
         return flat.reshape(len(array), -1)
     return np.stack([np.asarray(v, dtype=np.float64) for v in values])
 
@@ -223,7 +229,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """Cells around pivot vectors; every array is indexed by cell and has at most MAX_CELLS rows."""
+    """Cells around pivot vectors; every array is indexed by cell."""
 
     pivots: np.ndarray
     rows: np.ndarray
@@ -246,7 +252,8 @@ class Cells:
 
         Walking the cells by their farthest possible row, the first k rows give a
         bound on the k-th distance; a cell whose nearest possible row is beyond
-        that bound is left out. Exact for every distribution of the data.
+        that bound is left out. Rows whose scores round alike count as equally near,
+        so that ties go to the smaller id wherever it lies.
         """
         distance = self.distances(vectors)
         farthest = np.where(self.rows > 0, distance + self.radius, np.inf)
@@ -254,7 +261,10 @@ class Cells:
         enough = np.cumsum(self.rows[order], axis=1) >= k
         last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(self.rows) - 1)
         bound = np.take_along_axis(farthest, order[np.arange(len(order)), last][:, None], axis=1)
-        return (distance - self.radius <= bound + _SLACK) & (self.rows > 0)
+        nearest = np.maximum(0.0, distance - self.radius - _DISTANCE_SLACK)
+        kth = bound + _DISTANCE_SLACK
+        # Squares of distances are twice the cosines' distance from one.
+        return (nearest**2 / 2 <= kth**2 / 2 + _COSINE_SLACK) & (self.rows > 0)
 
     def closest(self, vectors: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest non-empty cells; approximate."""
@@ -267,7 +277,8 @@ class Cells:
 
 def _named(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     renamed = df.select(F.col(key).alias(name), F.col(vector).alias("vector"))
-    return renamed.filter(F.col("vector").isNotNull())
+    odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return renamed.filter(F.col("vector").isNotNull() & ~odd)
 
 
 def _with_direction(df: DataFrame) -> DataFrame:
@@ -281,16 +292,16 @@ def train_cells(
     vector: str = "vector",
     block_rows: int = BLOCK_ROWS,
 ) -> Cells:
-    """Pick pivots (a bounded sample in hash order) and measure each cell.
+    """Pick pivots (a sample in hash order) and measure each cell.
 
-    By default there is a cell per block of rows, up to ``MAX_CELLS``: smaller cells
-    would cost more in candidates than they save. Keep the result to look up an
-    unchanged index again.
+    By default there is a cell per block of rows, and in a large index about as many
+    cells as rows in a cell. Keep the result to look up an unchanged index again.
     """
     index = _with_direction(_named(index, key, vector, "id"))
     if cells is None:
-        cells = min(MAX_CELLS, max(1, math.ceil(index.count() / block_rows)))
-    sample = index.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(cells)
+        rows = index.count()
+        cells = max(1, min(math.ceil(rows / block_rows), math.isqrt(rows)))
+    sample = index.orderBy(F.md5(F.col("id").cast("string")), "id").limit(cells)
     pivots = _unit(_matrix(sample.select("vector").toArrow().column("vector")))
     if len(pivots) == 0:
         return Cells(pivots, np.zeros(0, np.int64), np.zeros(0))
@@ -324,7 +335,8 @@ def train_cells(
 
 
 def _by_number(values: list[int], number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), number + 1)
+    # One literal, however many cells there are.
+    return F.element_at(F.from_json(F.lit(str([int(v) for v in values])), "array<int>"), number + 1)
 
 
 def _join_by_cells(

@@ -112,19 +112,18 @@ def context_build(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"WITH {_PASSAGES}, a AS (SELECT q.vec_id AS query_id, coalesce(passages, 0) AS passages, "
     "coalesce(context_chars, 0) AS chars, issues, CASE WHEN passages > 0 THEN "
-    f"coalesce(substring(context, 1, 60), '') ELSE '{ctx.NO_PASSAGES_ANSWER.replace(chr(39), chr(39) * 2)}' END AS answer "
+    f"coalesce(context, '') ELSE '{ctx.NO_PASSAGES_ANSWER.replace(chr(39), chr(39) * 2)}' END AS answer "
     "FROM embeddings q LEFT JOIN g ON g.query_id = q.vec_id), f AS (SELECT query_id, answer, "
     f"(passages <= 0)::INT + (chars <= 50)::INT + (length({twins.strip('answer')}) <= 50)::INT AS failures, "
     "(chars > 50 AND chars <= 100)::INT + (issues IS NOT NULL)::INT AS warnings FROM a) "
-    "SELECT *, CASE WHEN failures = 0 AND warnings <= 1 THEN 'ok' WHEN failures <= 1 "
+    "SELECT query_id, md5(answer) AS answer_md5, failures, warnings, CASE WHEN failures = 0 AND warnings <= 1 THEN 'ok' WHEN failures <= 1 "
     "THEN 'functional' ELSE 'bad' END AS verdict FROM f"
 )
 def context_health(spark: SparkSession, folder: str) -> DataFrame:
-    answered = ctx.answer_or_apology(
-        _contexts(spark, folder).withColumn("answer", F.substring("context", 1, 60))
-    )
+    """The whole context stands for the answer, as from a model that repeats what it was given."""
+    answered = ctx.answer_or_apology(_contexts(spark, folder).withColumn("answer", F.col("context")))
     return ctx.retrieval_health(answered).select(
-        "query_id", "answer", "failures", "warnings", "verdict"
+        "query_id", F.md5("answer").alias("answer_md5"), "failures", "warnings", "verdict"
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,7 +168,7 @@ def corpus_job_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def corpus_table_sql(spark: SparkSession, folder: str) -> DataFrame:
     saved = save_table(
         read_parquet(spark, folder, "documents").select("doc_id", "source", "text"),
-        "passagework_articles",
+        f"passagework_articles_{uuid.uuid4().hex}",
         work_dir(spark, "articles"),
     )
     return query_tables(

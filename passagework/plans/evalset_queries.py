@@ -68,8 +68,8 @@ _QUESTIONS = f"""{_ALLOCATED},
 
 def _question_rows(spark: SparkSession, folder: str) -> DataFrame:
     articles = _articles(spark, folder)
-    allocated = evalset.allocate_evals(articles.select("doc_id"), "doc_id", NUM_EVALS)
-    return evalset.question_rows(allocated.join(articles, "doc_id"), "doc_id", "text")
+    allocated = evalset.allocate_evals(articles, "doc_id", NUM_EVALS, "text")
+    return evalset.question_rows(allocated, "doc_id", "text")
 
 
 @query(f"WITH {_QUESTIONS} SELECT doc_id, eval_no::BIGINT AS eval_no, question, fact FROM asked")

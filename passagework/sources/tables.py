@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -62,7 +63,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="passagework-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -140,7 +141,7 @@ def read_program_files(
     """Saved few-shot programs as one row per demo: (file, stage, position, demo fields)."""
     schema = T.StructType([T.StructField(stage, PROGRAM_STAGE) for stage in stages])
     files = spark.read.schema(schema).option("multiLine", one_per_file).json(path).withColumn(
-        "file", F.input_file_name()
+        "file", F.col("_metadata.file_path")
     )
     per_stage = files.select(
         "file",

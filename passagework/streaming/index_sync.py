@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passagework.operators.changes import latest_versions
 from passagework.operators.corpus import MIN_TEXT_CHARS, boundary_chunks, clean_markup
-from passagework.plans.jobs import embed_words
+from passagework.plans.jobs import Embedder, embed_words
 from passagework.sources.tables import spread
 
 LOG_SCHEMA = T.StructType([
@@ -32,35 +32,39 @@ LOG_SCHEMA = T.StructType([
 FOLDED_SCHEMA = "through long"
 
 
-def index_batch(articles: DataFrame, key: str, order: str | None = None) -> DataFrame:
+def index_batch(articles: DataFrame, key: str, order: str, embed: Embedder = embed_words) -> DataFrame:
     """Chunks and vectors of the articles of one batch.
 
-    With an ``order`` column only the last version of an article counts. An article
-    that is missing its text or too short after cleaning gives one row without
-    chunk, which hides the article's earlier chunks.
+    Only the last version of an article by ``order`` counts. An article that is missing
+    its text or too short after cleaning gives one row without chunk, which hides the
+    article's earlier chunks; so does a row whose ``change_type``, if there is such a
+    column, is ``delete``.
     """
-    if order is not None:
-        articles = latest_versions(articles, key, order)
+    articles = latest_versions(articles, key, order)
+    if "change_type" in articles.columns:
+        gone = F.col("change_type").eqNullSafe("delete")
+        articles = articles.withColumn("text", F.when(~gone, F.col("text")))
     long_enough = F.when(F.length("text") >= MIN_TEXT_CHARS, F.col("text"))
     texts = articles.select(
         F.col(key).alias("source_id"), F.col(key).alias("key"), long_enough.alias("text")
     )
     cleaned = clean_markup(texts).withColumn("text", long_enough)
     chunks = boundary_chunks(cleaned, "key", keep_empty=True)
-    return embed_words(chunks, "chunk").select(*[c for c in LOG_SCHEMA.names if c != "batch"])
+    return embed(chunks, "chunk", "vector").select(*[c for c in LOG_SCHEMA.names if c != "batch"])
 
 
 def sync_index(
-    articles: DataFrame, folder: str, key: str, order: str | None = None
+    articles: DataFrame, folder: str, key: str, order: str, embed: Embedder = embed_words
 ) -> StreamingQuery:
     """Start a triggered sync: everything that arrived since the last one, then stop.
 
-    ``articles`` is a streaming DataFrame with the key and ``text``. Progress is
+    ``articles`` is a streaming DataFrame with the key, ``text`` and the version column
+    ``order``; ``change_type`` may mark deletions. ``embed`` adds the vectors. Progress is
     kept in ``folder``, next to the log.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        index_batch(spread(batch, key), key, order).write.mode("overwrite").parquet(
+        index_batch(spread(batch, key), key, order, embed).write.mode("overwrite").parquet(
             f"{folder}/log/batch={number}"
         )
 
