@@ -29,6 +29,21 @@ REWRITE_FIELDS = {
     "original_question": "Original Question:",
     "rewritten_query": "Rewritten Query:",
 }
+JUDGE_INSTRUCTIONS = (
+    "Judge whether a response rests on the facts that were expected.\n"
+    "factual_accuracy: 0.0 to 1.0, lower for every claim that the facts do not support or contradict.\n"
+    "completeness: 0.0 to 1.0, the share of the facts that the response covers.\n"
+    "overall_score: 0.0 to 1.0; few accurate facts are worth more than many inaccurate ones.\n"
+    "reasoning: which facts are covered and what is inaccurate."
+)
+JUDGE_FIELDS = {
+    "request": "Request:", "response": "Response:", "expected_facts": "Expected Facts:", "overall_score": "Scores:",
+}
+QUESTION_INSTRUCTIONS = (
+    "Write a question that a reader of the passage could ask and that the passage answers.\n"
+    "State the facts that a right answer must hold."
+)
+QUESTION_FIELDS = {"passage": "Passage:", "guidelines": "Guidelines:", "question": "Question:"}
 _DIVIDER = "\n\n---\n\n"
 
 JUDGE_REPLY = T.StructType([
@@ -63,6 +78,33 @@ def render_prompt(
     return F.concat_ws(_DIVIDER, *[F.lit(t) for t in [instructions, *shown]], F.concat_ws("\n", *row))
 
 
+def rewrite_prompt(question: Column, demos: list[dict[str, str]] = ()) -> Column:
+    """The prompt that asks a model for a search text."""
+    return render_prompt(REWRITE_INSTRUCTIONS, REWRITE_FIELDS, {"original_question": question}, demos)
+
+
+def judge_prompt(request: Column, response: Column, expected_facts: Column) -> Column:
+    """The prompt that asks a judge to score a response against a list of expected facts."""
+    facts = F.array_join(F.transform(expected_facts, lambda f: F.concat(F.lit("- "), f)), "\n")
+    return render_prompt(
+        JUDGE_INSTRUCTIONS, JUDGE_FIELDS, {"request": request, "response": response, "expected_facts": facts}
+    )
+
+
+def question_prompt(passage: Column, guidelines: str) -> Column:
+    """The prompt that asks a model for an evaluation question, with the caller's guidelines."""
+    return render_prompt(QUESTION_INSTRUCTIONS, QUESTION_FIELDS, {"passage": passage, "guidelines": F.lit(guidelines)})
+
+
+def stage_demos(programs: DataFrame, stage: str, limit: int) -> list[dict[str, str]]:
+    """The first ``limit`` demos of a program's stage, ready for ``render_prompt``.
+
+    ``programs`` are the demo rows of one saved program, or chosen demos with their texts.
+    """
+    rows = programs.filter(F.col("stage") == stage).orderBy(F.desc("augmented"), "position").limit(limit)
+    return [{k: v for k, v in row.asDict().items() if isinstance(v, str) and k != "stage"} for row in rows.collect()]
+
+
 def batch_generate(
     df: DataFrame,
     prompt: str,

@@ -57,6 +57,17 @@ def eval_allocate(spark: SparkSession, folder: str) -> DataFrame:
     return allocated.select("doc_id", F.col("evals").cast("long").alias("evals"))
 
 
+@query(
+    f"SELECT doc_id::VARCHAR AS key, {NUM_EVALS + 7} // (SELECT count(*) FROM documents) + (row_number() OVER "
+    f"(ORDER BY doc_id::VARCHAR) <= {NUM_EVALS + 7} % (SELECT count(*) FROM documents))::INT::BIGINT AS evals FROM documents"
+)
+def eval_allocate_text_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Allotment by a key that is a text, with a remainder."""
+    keys = _articles(spark, folder).select(F.col("doc_id").cast("string").alias("key"))
+    allocated = evalset.allocate_evals(keys, "key", NUM_EVALS + 7)
+    return allocated.select("key", F.col("evals").cast("long").alias("evals"))
+
+
 _QUESTIONS = f"""{_ALLOCATED},
   listed AS (SELECT doc_id, evals, list_transform(list_filter(string_split(text, '.'),
              lambda s: regexp_matches(s, '{twins.NOT_WS}')), lambda s: {twins.strip('s')}) AS f FROM allocated),
@@ -202,3 +213,20 @@ def judge_generate(spark: SparkSession, folder: str) -> DataFrame:
     )
     replies = gen.batch_generate(prompts, "prompt", _judge_client, gen.JUDGE_REPLY, "key")
     return gen.parse_judge(replies).select("key", F.round("judge_score", 6).alias("judge_score"))
+
+
+_JUDGE_SQL = (
+    "'" + gen.JUDGE_INSTRUCTIONS.replace("'", "''") + "' || chr(10)||chr(10)||'---'||chr(10)||chr(10)"
+    " || 'Request: ' || question || chr(10) || 'Response: ' || answer || chr(10) || 'Expected Facts: - ' || answer"
+    " || chr(10) || '- ' || question || chr(10) || 'Scores:'"
+)
+
+
+@query(f"SELECT conv_id, turn, length(p) AS chars, md5(p) AS md5 FROM (SELECT conv_id, turn, {_JUDGE_SQL} AS p FROM ({twins.ANSWERED_TURNS}))")
+def judge_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts of the judge with request, response and expected facts."""
+    turns = answered_turns(read_parquet(spark, folder, "conversations"))
+    prompt = gen.judge_prompt(F.col("question"), F.col("answer"), F.array("answer", "question"))
+    return turns.select("conv_id", "turn", prompt.alias("p")).select(
+        "conv_id", "turn", F.length("p").cast("long").alias("chars"), F.md5("p").alias("md5")
+    )

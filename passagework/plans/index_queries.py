@@ -15,7 +15,7 @@ from passagework.operators.changes import (
 from passagework.operators.corpus import clean_corpus, fixed_chunks
 from passagework.operators.vectors import knn_join, nearest_to, recall
 from passagework.plans import twins
-from passagework.plans.jobs import embed_words
+from passagework.plans.jobs import embed_words, sync_job
 from passagework.plans.registry import query
 from passagework.sources.tables import read_parquet, save_parquet, spread, work_dir
 
@@ -93,18 +93,38 @@ def knn_label_hit_rate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_DIRECTED = """
+  e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 NOT IN (3, 4, 5, 6, 7)),
+  n AS (SELECT vec_id, 0 AS label, v, list_inner_product(v, v) AS vv FROM e)"""
+
+
+@query(
+    f"WITH {_DIRECTED},{_PAIRS}, top AS (SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM r "
+    "WHERE rank <= 5) SELECT 'sent' AS way, * FROM top UNION ALL SELECT 'cells' AS way, * FROM top"
+)
+def knn_odd_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Null, zero, NaN, infinite and null-element vectors among the others, looked up in both ways."""
+    kind, v = F.col("vec_id") % 50, F.col("embedding")
+    first = lambda x: F.transform(v, lambda e, i: F.when(i == 0, F.lit(x).cast("float")).otherwise(e))
+    odd = (
+        F.when(kind == 4, F.transform(v, lambda e: F.lit(0.0).cast("float")))
+        .when(kind == 5, first(float("nan")))
+        .when(kind == 6, first(float("inf")))
+        .when(kind == 7, first(None))
+        .when(kind != 3, v)
+    )
+    vectors = _vectors(spark, folder).withColumn("embedding", odd)
+    sent = _neighbours(vectors).withColumn("way", F.lit("sent"))
+    cells = _neighbours(vectors, broadcast_queries=0, cells=16, block_rows=512).withColumn("way", F.lit("cells"))
+    return sent.unionByName(cells).withColumn("score", F.round("score", 6))
+
+
 @query()
 def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _vectors(spark, folder)
     return recall(_neighbours(vectors, probes=8, cells=32), _neighbours(vectors))
 
 
-@query("SELECT label AS id, count(*) AS copies FROM embeddings GROUP BY label HAVING count(*) > 1")
-def index_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = read_parquet(spark, folder, "embeddings").select(F.col("label").alias("id"))
-    return duplicate_keys(vectors, "id")
-
-
 _WORD_SLOTS = f"""
   slots AS (SELECT doc_id, ('0x' || substring(md5(w), 1, 4))::INT % 64 AS slot, count(*) AS n
             FROM (SELECT doc_id, unnest(list_filter(string_split({twins.normalise('text')}, ' '),
@@ -172,6 +192,32 @@ def index_upsert_changes(spark: SparkSession, folder: str) -> DataFrame:
     return synced.select("id", F.md5("chunk").alias("md5"))
 
 
+@query(
+    f"WITH c AS {_NEW}, w AS (SELECT id, ('0x' || substring(md5(w), 1, 4))::INT % 64 AS slot, count(*) AS n FROM "
+    f"(SELECT id, unnest(list_filter(string_split({twins.normalise('chunk')}, ' '), lambda w: w <> '')) AS w FROM c) "
+    "GROUP BY ALL), t AS (SELECT id, sum(n) AS words, sum(n * n) AS squares FROM w GROUP BY id) "
+    "SELECT c.id, md5(chunk) AS md5, coalesce(words, 0)::BIGINT AS words, coalesce(squares, 0)::BIGINT AS squares "
+    "FROM c LEFT JOIN t USING (id)"
+)
+def index_sync_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored index of the old chunks after only its changed chunks were embedded anew."""
+    old, new = _snapshots(spark, folder)
+    root = work_dir(spark, "sync")
+    index = save_parquet(embed_words(old, "chunk"), f"{root}/index")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b).cast("long")
+    v = F.transform("vector", lambda x: x.cast("double"))
+    return sync_job(index, old, new, "id", "chunk", root).select(
+        "id", F.md5("chunk").alias("md5"), total(v).alias("words"), total(F.transform(v, lambda x: x * x)).alias("squares")
+    )
+
+
+@query(f"SELECT id, count(*) AS copies FROM (SELECT id FROM {_OLD} UNION ALL SELECT id FROM {_NEW}) GROUP BY id HAVING count(*) > 1")
+def index_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that a careless append of a new chunk table to the old one would have twice."""
+    old, new = _snapshots(spark, folder)
+    return duplicate_keys(old.unionByName(new), "id")
+
+
 @query(
     f"WITH o AS {_OLD}, n AS {_NEW}, k AS (SELECT o.id AS oid, n.id AS nid FROM o FULL OUTER JOIN n "
     "ON o.id = n.id) SELECT count(nid) AS source_rows, count(oid) AS indexed_rows, "

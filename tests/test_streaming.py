@@ -68,3 +68,75 @@ def test_streamed_answers_equal_the_batch(spark, tmp_path):
     assert streamed == sorted(map(tuple, batch.select("query_id", "context", "answer").collect()))
     answers = {q: a for q, _, a in streamed}
     assert answers["a"].endswith("[1]") and answers["c"].startswith("I couldn't find")
+
+
+def test_deletions_and_two_versions_in_one_batch(spark, tmp_path):
+    schema = SCHEMA + ", change_type string"
+    source, folder = str(tmp_path / "in"), str(tmp_path / "index")
+
+    def sync_rows(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        sync_index(stream, folder, "doc_id", "version").awaitTermination()
+        return sorted((r["id"], r["chunk"].split("0")[0]) for r in read_index(spark, folder).collect())
+
+    first = [(1, 1, text("old"), "insert"), (1, 2, text("new"), "update"), (2, 1, text("two"), "insert")]
+    assert sync_rows(first) == [("1_0", "new"), ("2_0", "two")]
+    assert sync_rows([(2, 2, text("two"), "delete"), (3, 1, text("three"), None)]) == [("1_0", "new"), ("3_0", "three")]
+    assert sync_rows([(2, 3, text("back"), "insert")]) == [("1_0", "new"), ("2_0", "back"), ("3_0", "three")]
+
+
+def test_jobs_take_models(spark):
+    from passagework.plans.jobs import answerer, embedder
+
+    import numpy as np
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def letters(texts):
+        calls.add(len(texts))
+        return np.array([[t.count(c) + 0.01 for c in "abcdefgh"] for t in texts])
+
+    def client():
+        return lambda prompts: [{"answer": f"{len(p)} [1]"} for p in prompts]
+
+    model = embedder(letters)
+    chunks = spark.createDataFrame(
+        [("1_0", 0, "t", "aaaa bbbb"), ("2_0", 0, "t", "cccc dddd"), ("3_0", 0, "t", "eeee")],
+        "id string, chunk_id int, title string, chunk string",
+    )
+    questions = spark.createDataFrame([(1, "ccc d"), (2, "ee")], "query_id long, question string")
+    index = model(chunks, "chunk", "vector")
+    answered = answer_job(questions, index, k=1, embed=model, use_rewriter=False, answer=answerer(client)).collect()
+    assert {r["query_id"]: r["answer"][-4:] for r in answered} == {1: " [1]", 2: " [1]"}
+    context = {r["query_id"]: r["context"] for r in answered}
+    assert "cccc dddd" in context[1] and "eeee" in context[2]
+
+
+def test_only_changed_chunks_are_embedded(spark, tmp_path):
+    from passagework.plans.jobs import embedder, sync_job
+
+    import numpy as np
+
+    def lengths(texts):
+        return np.array([[len(t), 1] for t in texts])
+
+    model = embedder(lengths)
+    old = spark.createDataFrame([("a", "x"), ("b", "yy"), ("c", "zzz")], "id string, chunk string")
+    new = spark.createDataFrame([("a", "x"), ("b", "changed"), ("d", "new one")], "id string, chunk string")
+    index = model(old, "chunk", "vector")
+    folder = str(tmp_path / "sync")
+    done = sync_job(index, old, new, "id", "chunk", folder, model)
+    assert sorted((r["id"], r["vector"][0]) for r in done.collect()) == [("a", 1.0), ("b", 7.0), ("d", 7.0)]
+    assert spark.read.parquet(f"{folder}/fresh").count() == 2
+
+
+def test_passages_are_fetched_without_shuffling_their_texts(spark):
+    from passagework.plans.jobs import retrieve
+
+    rows = [(f"{i}_0", i, text(f"w{i}")) for i in range(40)]
+    chunks = embed_words(spark.createDataFrame(rows, "id string, chunk_id int, chunk string"), "chunk")
+    questions = spark.createDataFrame([(1, text("w3", 4))], "query_id long, question string")
+    plan = retrieve(questions, chunks, 2)._jdf.queryExecution().executedPlan().toString()
+    joined = plan[plan.index("BroadcastHashJoin"):]
+    assert "SortMergeJoin [id" not in plan and "BroadcastHashJoin" in joined

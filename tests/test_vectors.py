@@ -165,3 +165,34 @@ def test_pairs_are_scored_in_slices(monkeypatch):
     expected = brute_force(list(enumerate(block)), list(zip(ids.tolist(), block)), 5)
     got = {q: whole.ids[whole.query == q].tolist() for q in range(240)}
     assert got == expected
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_odd_vectors_and_near_ties(spark, way):
+    """Vectors without direction change nothing; scores that round alike tie, wherever they lie."""
+    rng = np.random.default_rng(4)
+    good = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    ties = [(101, [float(np.cos(2e-5)), float(np.sin(2e-5)), 0.0, 0.0]), (105, [1.0, 0.0, 0.0, 0.0])]
+    nan, inf = float("nan"), float("inf")
+    odd = [(200, [nan, 1.0, 0.0, 0.0]), (201, [inf, 0.0, 0.0, 0.0]), (202, [-inf, 1.0, nan, 0.0]),
+           (203, [0.0] * 4), (204, None), (205, [None, 1.0, 1.0, 1.0])]
+    kind = "id long, vector array<double>"
+    clean = spark.createDataFrame(good + ties, kind)
+    mixed = spark.createDataFrame(good + ties + odd, kind)
+    options = {**WAYS[way]}
+    wanted = as_lists(knn_join(clean, clean, 3, query_id="id"))
+    assert as_lists(knn_join(mixed, mixed, 3, query_id="id", **options)) == wanted
+    assert wanted[105][:2] == [101, 105]
+
+
+def test_lengths_must_agree(spark):
+    kind = "id long, vector array<double>"
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], kind)
+    ragged = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0, 0.0])], kind).coalesce(1)
+    with pytest.raises(Exception, match="lengths|matmul|mismatch"):
+        knn_join(queries, ragged, 1, query_id="id").collect()
+
+
+def test_one_query_ignores_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 0.0]), (3, [0.0, 0.0])], "id long, vector array<double>")
+    assert [r["id"] for r in nearest_to(rows, [1.0, 1.0], 3).collect()] == [1]
