@@ -81,8 +81,11 @@ def beside(own: DataFrame, marks: DataFrame, weight: str, how: str) -> DataFrame
 def apply_marks(
     own: DataFrame, stretches: DataFrame, cut: Callable, fields: list[tuple[str, str]], kind: T.DataType
 ) -> DataFrame:
-    """(_id, _key, fields of ``cut``) per document; ``cut(text, starts, ends)`` gives a row's values."""
-    marks = save(per_document(stretches), "marks")
+    """(_id, _key, fields of ``cut``) per document; ``cut(text, starts, ends)`` gives a row's values.
+
+    ``stretches`` has one row per document, see ``per_document``.
+    """
+    marks = save(stretches, "marks")
     marked = beside(own, marks, "2 * size(starts)", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.common import save
-from passagework.llm.marks import apply_marks, beside, merged, own_columns
+from passagework.llm.marks import apply_marks, beside, merged, own_columns, per_document
 from passagework.llm.rolling import Rolling, lowest, mixed
 
 LENGTH = 200
@@ -306,7 +306,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", len
         return len(data), len(data) - len(rest), len(starts), rest
 
     fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")]
-    return apply_marks(own, repeats(own, length, **options), cut, fields, own.schema["_id"].dataType)
+    return apply_marks(own, per_document(repeats(own, length, **options)), cut, fields, own.schema["_id"].dataType)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Every window of ``length`` words gets a Rabin-Karp hash. Hashes are dealt into b
 a second hash and counted there: a window that also starts in a document with a smaller id
 is a repeat. Tasks first settle the repeats among their own documents, so a window that a
 third of all documents hold leaves each task once, then send what is left packed by
-bucket. Repeated windows merge into maximal removal intervals.
+bucket. What a bucket finds goes back packed by block of documents, where repeated windows
+merge into maximal removal intervals.
 
 The 64-bit hash and the bucket of the second hash must both agree. The number of buckets
 grows with the text, and so does the width of the comparison.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def _ranks(ids: list) -> np.ndarray:
     return np.array([len(order) if v is None else order[v] for v in ids], np.int64)
 
 
+def _place(id, key: int, places: int) -> int:
+    """Where a document's repeats are gathered; copies of a text go to different places."""
+    return xxhash.xxh3_64_intdigest(f"{id!r} {key}") % places
+
+
 def _later(hashes: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which windows also start in a document of a smaller rank."""
     if not len(hashes):
@@ -48,7 +55,7 @@ def _later(hashes: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return later
 
 
-def _runs(doc: np.ndarray, at: np.ndarray, n: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _runs(doc: np.ndarray, at: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(document, starts, ends): runs of window starts by document; sorted by both."""
     out = []
     cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
@@ -62,7 +69,7 @@ def _rows(kind: pa.Schema, bucket: list[int], found: list[dict]) -> pa.RecordBat
 
 
 def repeated(own: DataFrame, length: int = LENGTH, chunk: int = CHUNK_WINDOWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(_id, _key, starts, ends): runs of starts of repeated windows, in any number of rows per document."""
+    """(_id, _key, starts, ends): runs of starts of repeated windows, one row per document that has any."""
     # The one figure that sizes the buckets; it reads the texts' lengths.
     size = own.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(size) // bucket_bytes))
@@ -84,9 +91,9 @@ def repeated(own: DataFrame, length: int = LENGTH, chunk: int = CHUNK_WINDOWS, b
             every, to = np.concatenate(hashes), np.concatenate(dealt) % np.uint64(buckets)
             later = _later(every ^ (to * np.uint64(0x9E3779B97F4A7C15)), doc, _ranks(ids))
             rows, where = [], []
-            for d, starts, ends in _runs(doc[later], at[later], len(ids)):
+            for d, starts, ends in _runs(doc[later], at[later]):
                 # Settled here: passed through the exchange under the document's own number.
-                where.append(-1 - keys[d] % buckets)
+                where.append(-1 - _place(ids[d], keys[d], buckets))
                 rows.append({"ids": [ids[d]], "keys": [keys[d]], "counts": [len(starts)], "hashes": starts.astype("<i4").tobytes(), "at": ends.astype("<i4").tobytes()})
             rest = np.flatnonzero(~later)
             rest = rest[np.argsort(to[rest], kind="stable")]
@@ -123,17 +130,20 @@ def repeated(own: DataFrame, length: int = LENGTH, chunk: int = CHUNK_WINDOWS, b
         if ids:
             yield flush()
 
-    answer = pa.schema([("_id", id_arrow), ("_key", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+    runs = pa.schema([
+        ("block", pa.int64()), ("ids", pa.list_(id_arrow)), ("keys", pa.list_(pa.int64())),
+        ("counts", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
+    ])
+    flat = lambda table, name: [v for row in table.column(name).to_pylist() for v in row]
 
     def count(table: pa.Table) -> pa.Table:
+        """The repeats of a bucket, packed by block of documents."""
+        ids, keys = flat(table, "ids"), flat(table, "keys")
         if table.column("bucket")[0].as_py() < 0:
             read = lambda name: [np.frombuffer(v.as_py(), "<i4") for v in table.column(name)]
-            ids, keys = ([v[0] for v in table.column(c).to_pylist()] for c in ("ids", "keys"))
-            starts, ends = read("hashes"), read("at")
+            found = [(d, s, e) for d, (s, e) in enumerate(zip(read("hashes"), read("at")))]
         else:
-            ids = [v for row in table.column("ids").to_pylist() for v in row]
-            keys = [v for row in table.column("keys").to_pylist() for v in row]
-            counts = np.array([v for row in table.column("counts").to_pylist() for v in row], np.int64)
+            counts = np.array(flat(table, "counts"), np.int64)
             hashes = np.concatenate([np.frombuffer(v.as_py(), np.uint64) for v in table.column("hashes")])
             at = np.concatenate([
                 np.frombuffer(a.as_py(), "<u2" if 4 * len(a.as_py()) == len(h.as_py()) else "<u4").astype(np.int64)
@@ -141,15 +151,39 @@ def repeated(own: DataFrame, length: int = LENGTH, chunk: int = CHUNK_WINDOWS, b
             ])
             doc = np.repeat(np.arange(len(ids)), counts)
             later = np.flatnonzero(_later(hashes, doc, _ranks(ids)))
-            runs = _runs(doc[later], at[later], len(ids))
-            ids, keys = [ids[d] for d, _, _ in runs], [keys[d] for d, _, _ in runs]
-            starts, ends = [s for _, s, _ in runs], [e for _, _, e in runs]
+            found = _runs(doc[later], at[later])
+        blocks: dict[int, list] = {}
+        for run in found:
+            blocks.setdefault(_place(ids[run[0]], keys[run[0]], buckets), []).append(run)
+        rows = [
+            {"block": block, "ids": [ids[d] for d, _, _ in part], "keys": [keys[d] for d, _, _ in part],
+             "counts": [len(s) for _, s, _ in part], "starts": np.concatenate([s for _, s, _ in part]),
+             "ends": np.concatenate([e for _, _, e in part])}
+            for block, part in blocks.items()
+        ]
+        return pa.Table.from_pylist(rows, schema=runs)
+
+    answer = pa.schema([("_id", id_arrow), ("_key", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+
+    def gather(table: pa.Table) -> pa.Table:
+        """All runs of each document of a block."""
+        starts = np.concatenate([v.values.to_numpy() for v in table.column("starts")])
+        ends = np.concatenate([v.values.to_numpy() for v in table.column("ends")])
+        found, done = {}, 0
+        for id, key, n in zip(flat(table, "ids"), flat(table, "keys"), flat(table, "counts")):
+            found.setdefault((id, key), []).append(slice(done, done + n))
+            done += n
+        both = [merged(*(np.concatenate([v[x] for x in parts]) for v in (starts, ends))) for parts in found.values()]
         return pa.Table.from_arrays(
-            [pa.array(ids, id_arrow), pa.array(keys, pa.int64()), ints(starts), ints(ends)], schema=answer
+            [pa.array([k[0] for k in found], id_arrow), pa.array([k[1] for k in found], pa.int64()),
+             ints([s for s, _ in both]), ints([e for _, e in both])], schema=answer
         )
 
     sent = own.mapInArrow(send, "bucket long, " + _PACKED.format(id_kind))
-    return sent.groupBy("bucket").applyInArrow(count, f"_id {id_kind}, _key long, starts array<int>, ends array<int>")
+    dealt = sent.groupBy("bucket").applyInArrow(
+        count, f"block long, ids array<{id_kind}>, keys array<long>, counts array<int>, starts array<int>, ends array<int>"
+    )
+    return dealt.groupBy("block").applyInArrow(gather, f"_id {id_kind}, _key long, starts array<int>, ends array<int>")
 
 
 def _arrow(own: DataFrame) -> pa.DataType:
