@@ -463,6 +463,75 @@ def knn_join(
     )
 
 
+def write_index(
+    index: DataFrame,
+    folder: str,
+    cells: int | None = None,
+    key: str = "id",
+    vector: str = "vector",
+    block_rows: int = BLOCK_ROWS,
+) -> None:
+    """Store an index by cell, with its cells, so that ``lookup`` reads only what it probes.
+
+    Keys must be unique. Rows without direction are never found and are not stored.
+    """
+    require_unique(index, key)
+    trained = train_cells(index, cells, key, vector, block_rows)
+    spark, dims = index.sparkSession, trained.pivots.shape[1] if len(trained.rows) else 0
+    shared = trained.broadcast(index)
+
+    @F.pandas_udf("int")
+    def cell_of(vectors: pd.Series) -> pd.Series:
+        return pd.Series(Cells(*shared.value).assign(_matrix(vectors))[0])
+
+    stored = _with_direction(_named(index, key, vector, "id"))
+    if len(trained.rows):
+        stored = stored.withColumn("cell", cell_of("vector"))
+    else:
+        stored = stored.withColumn("cell", F.lit(0))
+    stored.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
+    table = [
+        (i, trained.pivots[i].tolist(), int(trained.rows[i]), float(trained.radius[i]), dims)
+        for i in range(len(trained.rows))
+    ]
+    spark.createDataFrame(table, "cell int, pivot array<double>, rows long, radius double, dims int").coalesce(
+        1
+    ).write.mode("overwrite").parquet(f"{folder}/cells")
+
+
+def lookup(
+    queries: DataFrame,
+    folder: str,
+    k: int = TOP_K,
+    probes: int | None = None,
+    query_id: str = "query_id",
+    vector: str = "vector",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``knn_join`` with a stored index: only the cells that some query visits are read.
+
+    Without ``probes`` the result is exact, and every cell that can matter is visited.
+    """
+    spark = queries.sparkSession
+    known = spark.read.parquet(f"{folder}/cells").orderBy("cell").toPandas()
+    index = spark.read.parquet(f"{folder}/rows")
+    named = _with_direction(_named(queries, query_id, vector, "query_id"))
+    if known.empty:
+        return knn_join(named, index, k, probes=probes)
+    trained = Cells(np.stack(known["pivot"].to_list()), known["rows"].to_numpy(), known["radius"].to_numpy())
+    shared = trained.broadcast(queries)
+
+    @F.pandas_udf("array<int>")
+    def cells_for(vectors: pd.Series) -> pd.Series:
+        matrix, model = _matrix(vectors), Cells(*shared.value)
+        chosen = model.reachable(matrix, k) if probes is None else model.closest(matrix, probes)
+        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in chosen])
+
+    visited = named.select(F.explode(cells_for("vector")).alias("cell")).distinct().collect()  # at most every cell
+    read = index.filter(F.col("cell").isin([r["cell"] for r in visited])).drop("cell")
+    return knn_join(named, read, k, cells=trained, probes=probes, block_rows=block_rows, broadcast_queries=0)
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: how many of the true neighbours an approximate lookup found."""
     marks = truth.select("query_id", "id", F.lit(1).alias("true"), F.lit(0).alias("found")).unionByName(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from passagework.operators.changes import (
     change_feed,
@@ -13,7 +14,7 @@ from passagework.operators.changes import (
     snapshot_diff,
 )
 from passagework.operators.corpus import clean_corpus, fixed_chunks
-from passagework.operators.vectors import knn_join, nearest_to, recall
+from passagework.operators.vectors import knn_join, lookup, nearest_to, recall, write_index
 from passagework.plans import twins
 from passagework.plans.jobs import embed_words, sync_job
 from passagework.plans.registry import query
@@ -119,12 +120,39 @@ def knn_odd_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return sent.unionByName(cells).withColumn("score", F.round("score", 6))
 
 
-@query()
+_PROBED = f"""WITH {_EMBEDDED},{_PAIRS},
+  p AS (SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) AS cell, v, vv FROM n WHERE vv > 0
+        ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 32),
+  d AS (SELECT n.vec_id, cell, list_inner_product(n.v, p.v) / sqrt(n.vv * p.vv) AS c FROM n, p WHERE n.vv > 0),
+  home AS (SELECT vec_id, cell FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, cell) = 1),
+  visit AS (SELECT vec_id, cell FROM d JOIN (SELECT DISTINCT cell FROM home) USING (cell)
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, cell) <= 8),
+  found AS (SELECT query_id, id FROM s JOIN home ON home.vec_id = s.id
+            JOIN visit ON visit.vec_id = s.query_id AND visit.cell = home.cell
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5)
+  SELECT count(*) AS neighbours, count(found.id) AS hits, count(found.id) / count(*) AS recall
+  FROM (SELECT query_id, id FROM r WHERE rank <= 5) truth LEFT JOIN found USING (query_id, id)"""
+
+
+@query(_PROBED)
 def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _vectors(spark, folder)
     return recall(_neighbours(vectors, probes=8, cells=32), _neighbours(vectors))
 
 
+@query(_PROBED)
+def ann_stored_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from an index stored by cell, of which a lookup reads the cells it probes."""
+    vectors = _vectors(spark, folder)
+    root = work_dir(spark, "cells")
+    write_index(vectors, root, 32, key="vec_id", vector="embedding")
+    found = lookup(vectors, root, 6, 8, query_id="vec_id", vector="embedding")
+    others = found.filter("id != query_id")
+    best = Window.partitionBy("query_id").orderBy("rank")
+    kept = others.withColumn("place", F.row_number().over(best)).filter("place <= 5")
+    return recall(kept, _neighbours(vectors))
+
+
 _WORD_SLOTS = f"""
   slots AS (SELECT doc_id, ('0x' || substring(md5(w), 1, 4))::INT % 64 AS slot, count(*) AS n
             FROM (SELECT doc_id, unnest(list_filter(string_split({twins.normalise('text')}, ' '),

@@ -196,3 +196,17 @@ def test_lengths_must_agree(spark):
 def test_one_query_ignores_odd_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 0.0]), (3, [0.0, 0.0])], "id long, vector array<double>")
     assert [r["id"] for r in nearest_to(rows, [1.0, 1.0], 3).collect()] == [1]
+
+
+def test_stored_index_reads_the_cells_it_probes(spark, data, tmp_path):
+    from passagework.operators.vectors import lookup, write_index
+
+    frame = table(spark, data)
+    write_index(frame, str(tmp_path), 6)
+    exact = as_lists(knn_join(frame, frame, 3, query_id="id"))
+    assert as_lists(lookup(frame, str(tmp_path), 3, query_id="id")) == exact
+    near = lookup(frame.filter("id = 5"), str(tmp_path), 3, probes=1, query_id="id")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    with pytest.raises(ValueError):
+        write_index(frame.union(frame), str(tmp_path / "twice"), 6)
