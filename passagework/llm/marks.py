@@ -64,14 +64,16 @@ def own_columns(docs: DataFrame, id: str, text: str) -> DataFrame:
     )
 
 
-def beside(own: DataFrame, marks: DataFrame, weight: str, how: str) -> DataFrame:
+def beside(own: DataFrame, marks: DataFrame, weight: str | None, how: str) -> DataFrame:
     """Join saved rows by document to the texts; they are sent to the tasks only if few and small.
 
-    ``weight`` is an expression for the array elements of a row.
+    ``weight`` is an expression for the array elements of a row; without it the join is
+    left to the planner, for rows that are no smaller than the texts.
     """
-    rows, elements = marks.agg(F.count("*"), F.coalesce(F.sum(F.expr(weight)), F.lit(0))).first()
-    if rows <= SENT_ROWS and 8 * elements <= SENT_BYTES:
-        marks = F.broadcast(marks)
+    if weight is not None:
+        rows, elements = marks.agg(F.count("*"), F.coalesce(F.sum(F.expr(weight)), F.lit(0))).first()
+        if rows <= SENT_ROWS and 8 * elements <= SENT_BYTES:
+            marks = F.broadcast(marks)
     others = [c for c in marks.columns if c not in ("_id", "_key")]
     return own.join(marks, same(own, marks, "_id", "_key"), how).select(
         own["_id"], own["_key"], own["_text"], *[marks[c] for c in others]

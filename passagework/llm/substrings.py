@@ -147,7 +147,7 @@ def _anchors(own: DataFrame, length: int, gram: int) -> DataFrame:
 def _contexts(own: DataFrame, members: DataFrame, length: int, width: int) -> DataFrame:
     """The bytes around each member (_id, _key, at, gram): (gram, after, before, _id, _key, at)."""
     by_text = save(members.groupBy("_id", "_key").agg(F.collect_list(F.struct("gram", "at")).alias("places")), "places")
-    texts = beside(own, by_text, "2 * size(places)", "inner")
+    texts = beside(own, by_text, None, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
