@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+# White space, punctuation, cleaning rules (below) and question words (below).
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 NOT_WS = r"[^\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
-PUNCT = "chr(33)||'\"#$%&'||chr(39)||'()*+,-./:;<=>?@['||chr(92)||']^_`{|}~'"
+PUNCT = "'!\"#$%&'||chr(39)||'()*+,-./:;<=>?@['||chr(92)||']^_`{|}~'"
 
 
 def strip(x: str) -> str:
@@ -29,6 +30,7 @@ def line_filter(x: str) -> str:
 def clean(x: str) -> str:
     """The cleaning rules; of all entities only those that the tables hold."""
     q = "''"
+    # The same rules as in functions/markup.py, in this engine's syntax.
     steps = [
         (r"<[^>]+>", ""),
         # These names are also decoded when a page cuts off their semicolon.
@@ -79,6 +81,7 @@ def facts(x: str) -> str:
 
 
 def keywords(x: str) -> str:
+    # The question words.
     stop = "['what','when','where','who','why','how','is','are','was','were','do','does','did']"
     return (
         f"list_transform(list_filter({words(f'lower({x})')}, "

@@ -5,6 +5,7 @@ from passagework.functions import metrics
 from passagework.operators.generation import parse_judge
 from passagework.operators.scoring import score_answers, with_completeness, with_fact_f1
 
+# Example texts and the scores they must have.
 GENRE = "Heavy metal is a genre of rock music [1]. It developed in the late 1960s [2]."
 EXPECTED = "Heavy metal is a genre of rock music characterized by aggressive sounds."
 
