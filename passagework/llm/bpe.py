@@ -10,8 +10,10 @@ is reached, and so are its moves.
 from __future__ import annotations
 
 import base64
+import gc
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,14 @@ from pyspark.sql import types as T
 
 from passagework.llm.common import sha
 
-MOST_STATES = 400_000
-MOST_PIECES = 300_000
+MOST_STATES = 150_000
+MOST_PIECES = 200_000
 LONGEST_KEPT = 64
+SPLITS_PER_TASK = 4
 NODE_BITS = 32
 NODES = (1 << NODE_BITS) - 1
+TOKEN_BITS = 24
+LAST_TOKEN = (1 << TOKEN_BITS) - 1
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -64,7 +69,7 @@ class Merges:
 class Transducer:
     """Deterministic states over sets of hypotheses (token before, node of the token tree).
 
-    A move gives the next state and the token that the byte closes behind a token it goes
+    A move gives, in one number, the next state and the token that the byte closes behind a token it goes
     with; at most one does. What is closed longer ago than the deepest open hypothesis is
     certain, so tokens are known after a lookahead of one token's length at most, and a
     state with a single hypothesis at the root lets everything before it go.
@@ -86,6 +91,7 @@ class Transducer:
                     self.inner[node] = True
                 node = self.child[step]
             self.ends[node] = rank
+        self.sizes = [len(token) for token in tokens]
         self.edges: dict[int, tuple] = {}
         self.reset()
 
@@ -93,7 +99,7 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.numbers: dict[tuple[int, ...], int] = {}
         self.states: list[tuple[int, ...]] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
         self.start = self._number((0,))
 
     def _number(self, state: tuple[int, ...]) -> int:
@@ -145,7 +151,7 @@ class Transducer:
             else:
                 y += 1
 
-    def _move(self, number: int, byte: int) -> tuple[int, int]:
+    def _move(self, number: int, byte: int) -> int:
         # A hypothesis is the token before, plus one, and the node, in one number.
         child, inner, ends, pairs = self.child, self.inner, self.ends, self.pairs
         alive, closed = [], -1
@@ -166,7 +172,7 @@ class Transducer:
                     closed = token
         if closed >= 0:
             alive.append(closed + 1 << NODE_BITS)
-        move = self.moves[number << 8 | byte] = (self._number(tuple(alive)), closed)
+        move = self.moves[number << 8 | byte] = self._number(tuple(alive)) << TOKEN_BITS | closed + 1
         return move
 
     def encode(self, data: bytes) -> list[int]:
@@ -178,20 +184,20 @@ class Transducer:
         state, moves, states = self.start, self.moves, self.states
         for byte in data:
             move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            closed.append(move[1])
-            if len(closed) > LONGEST_KEPT and len(states[state]) == 1 and move[1] >= 0:
+            state = move >> TOKEN_BITS
+            closed.append((move & LAST_TOKEN) - 1)
+            if len(closed) > LONGEST_KEPT and len(states[state]) == 1 and closed[-1] >= 0:
                 self._let_go(closed, out)
         self._let_go(closed, out)
         return out
 
     def _let_go(self, closed: list[int], out: list[int]) -> None:
         """Follow the closed tokens back from the last byte and emit them."""
-        tokens, at, found = self.tokens, len(closed), []
+        sizes, at, found = self.sizes, len(closed), []
         while at:
             token = closed[at - 1]
             found.append(token)
-            at -= len(tokens[token])
+            at -= sizes[token]
         out += found[::-1]
         closed.clear()
 
@@ -261,55 +267,88 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
 
 
 class Pieces(dict):
-    """Token ids of the stretches between two spaces, computed when first met.
+    """Token ids of the stretches between two spaces, computed when first met, as packed bytes.
 
     A space behind a character that isn't white space always starts a match of the usual
     patterns, so a text may be cut there. A stretch stands here with the space before it.
+    Where the pattern takes a space and Latin letters as one match and a mark after them as
+    another, words need no matching.
     """
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.machine, self.split = Transducer(tokens), regex.compile(pattern).findall
-        self.pieces: dict[str, list[int]] = {}
-
-    def whole(self, text: str) -> list[int]:
-        out, pieces = [], self.pieces
-        for piece in self.split(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = self.machine.encode(piece.encode("utf-8"))
-                if len(piece) <= LONGEST_KEPT:
-                    if len(pieces) >= MOST_PIECES:
-                        pieces.clear()
-                    pieces[piece] = ids
-            out += ids
-        return out
+        word = " " + ascii_letters + "\u00e9\u00df\u00f1\u00e7" * 4
+        self.plain = self.split(word) == [word]
+        self.marks = {
+            mark: self.packed(mark) for mark in ".,;:!?|" if self.split(word + mark) == [word, mark]
+        }
+
+    def packed(self, piece: str) -> bytes:
+        return array("i", self.machine.encode(piece.encode("utf-8"))).tobytes()
 
-    def __missing__(self, stretch: str) -> tuple[int, ...] | None:
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.packed, self.split(text)))
+
+    def __missing__(self, stretch: str) -> bytes | None:
         if not stretch or stretch[-1].isspace():
             return None  # the next space isn't a place to cut
-        ids = tuple(self.whole(" " + stretch))
+        latin = self.plain and max(stretch) < "\u0250"
+        if latin and stretch[-1] in self.marks and stretch[:-1].isalpha():
+            return self[stretch[:-1]] + self.marks[stretch[-1]]
+        ids = self.packed(" " + stretch) if latin and stretch.isalpha() else self.whole(" " + stretch)
         if len(stretch) <= LONGEST_KEPT:
             if len(self) >= MOST_PIECES:
                 self.clear()
             self[stretch] = ids
         return ids
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
+        """The token ids of a text."""
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         first, *rest = text.split(" ")
         found = list(map(self.__getitem__, rest))
         if first and not first[-1].isspace() and None not in found:
-            return [*self.whole(first), *chain.from_iterable(found)]
-        out: list[int] = []
-        held = first
-        for stretch, ids in zip(rest, found):
-            if not held or held[-1].isspace():
-                held += " " + stretch
-            else:
-                out += self.whole(held)
-                held = " " + stretch
-        return out + self.whole(held)
+            out = [self.whole(first), *found]
+        else:
+            out, held = [], first
+            for stretch, ids in zip(rest, found):
+                if not held or held[-1].isspace():
+                    held += " " + stretch
+                else:
+                    out.append(self.whole(held))
+                    held = " " + stretch
+            out.append(self.whole(held))
+        return np.frombuffer(b"".join(out), np.intc)
+
+
+def _encoded(
+    batches: Iterator[pa.RecordBatch], tokens: list[bytes], pattern: str, text: str, name: str
+) -> Iterator[pa.RecordBatch]:
+    pieces = Pieces(tokens, pattern)
+    gc.disable()  # millions of small objects and no cycles among them
+    for batch in batches:
+        rows = [pieces.ids(value.as_py() or "") for value in batch.column(text)]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
+        yield _with(batch, name, lists)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokens: list[bytes], ids: str, name: str) -> Iterator[pa.RecordBatch]:
+    machine = Utf8(tokens)
+    for batch in batches:
+        rows = (row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else [] for row in batch.column(ids))
+        yield _with(batch, name, pa.array(map(machine.decode, rows), pa.string()))
+
+
+def fewer_tasks(df: DataFrame, splits: int = SPLITS_PER_TASK) -> DataFrame:
+    """Up to ``splits`` partitions in one, as long as every core keeps two tasks.
+
+    A task starts without states and words; it has to read some text to make them pay.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    return df.coalesce(max(2 * cores, parts // splits)) if parts > 2 * cores else df
 
 
 def encode(df: DataFrame, tokens: list[bytes], pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
@@ -321,35 +360,34 @@ def encode(df: DataFrame, tokens: list[bytes], pattern: str, text: str = "text",
     ``pattern`` must start a match at every space behind a character that isn't white space.
     """
     sent = df.sparkSession.sparkContext.broadcast(tokens)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(sent.value, pattern)
-        for batch in batches:
-            rows = [np.array(pieces.ids(value.as_py() or ""), dtype=np.int32) for value in batch.column(text)]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
-            yield _with(batch, name, lists)
-
-    return df.mapInArrow(run, _added(df, name, T.ArrayType(T.IntegerType())))
+    return fewer_tasks(df).mapInArrow(
+        lambda batches: _encoded(batches, sent.value, pattern, text, name), _added(df, name, T.ArrayType(T.IntegerType()))
+    )
 
 
 def decode(df: DataFrame, tokens: list[bytes], ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Add ``name``: the text of token ids; a null array reads as empty."""
     sent = df.sparkSession.sparkContext.broadcast(tokens)
+    return df.mapInArrow(lambda batches: _decoded(batches, sent.value, ids, name), _added(df, name, T.StringType()))
+
+
+def round_trip(df: DataFrame, tokens: list[bytes], pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: (the other columns, ids, decoded)."""
+    sent = df.sparkSession.sparkContext.broadcast(tokens)
+    kind = _added(df, "ids", T.ArrayType(T.IntegerType()))
+    kind = T.StructType([*(f for f in kind.fields if f.name not in (text, "decoded")), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Utf8(sent.value)
-        for batch in batches:
-            texts = [machine.decode(row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else []) for row in batch.column(ids)]
-            yield _with(batch, name, pa.array(texts, pa.string()))
+        coded = _encoded(batches, sent.value, pattern, text, "ids")
+        for batch in _decoded(coded, sent.value, "ids", "decoded"):
+            yield batch.select(kind.fieldNames())
 
-    return df.mapInArrow(run, _added(df, name, T.StringType()))
+    return fewer_tasks(df).mapInArrow(run, kind)
 
 
 def digest(docs: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
     """The contract's columns: encode every text, decode the ids again."""
-    coded = encode(docs.select("doc_id", "text"), tokens, pattern).drop("text")
-    done = decode(coded, tokens)
+    done = round_trip(docs.select("doc_id", "text"), tokens, pattern)
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
