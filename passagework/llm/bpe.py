@@ -28,6 +28,7 @@ MOST_STATES = 150_000
 MOST_PIECES = 200_000
 LONGEST_KEPT = 64
 SPLITS_PER_TASK = 4
+ROWS_AT_ONCE = 1000
 NODE_BITS = 32
 NODES = (1 << NODE_BITS) - 1
 TOKEN_BITS = 24
@@ -327,7 +328,8 @@ def _encoded(
 ) -> Iterator[pa.RecordBatch]:
     pieces = Pieces(tokens, pattern)
     gc.disable()  # millions of small objects and no cycles among them
-    for batch in batches:
+    parts = (batch.slice(i, ROWS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, ROWS_AT_ONCE))
+    for batch in parts:
         rows = [pieces.ids(value.as_py() or "") for value in batch.column(text)]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))

@@ -6,7 +6,7 @@ with equal shingle sets are one class, and only classes are compared. Links are
 on full sets.
 
 A bucket of few classes is compared pair by pair. In a larger one every class is compared
-with a few leaders. Where that leaves a large bucket in several components, the classes of
+with two leaders. Where that leaves a large bucket in several components, the classes of
 these buckets are compared by a prefix filter that loses no link: two sets that overlap
 enough share one of their rarest shingles. Shingles of a single component come first in
 that order, so a class that its component can't reach by its common shingles makes no
@@ -35,7 +35,7 @@ from passagework.llm.rolling import WordHashes, mixed
 SHINGLE = 3
 SIMILARITY = (85, 100)
 BANDS, ROWS = 25, 5
-FEW = 12
+FEW = 6
 # Ratio of neighbouring sizes that the prefix filter takes together.
 SIZE_STEP = 1.02
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -125,14 +125,14 @@ def _sets(own: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "short long, class binary, n long, tokens binary").dropDuplicates(["class"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], sized: bool = False) -> DataFrame:
     """(a, b) classes of the pairs (a, b) of short names whose full sets are similar enough."""
     above, below = similarity
     size = sets.select("short", "n")
     one = sets.select(F.col("short").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("short").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    # Sizes alone rule out many pairs before any set moves.
-    near = pairs.join(size.withColumnsRenamed({"short": "a", "n": "na"}), "a").join(
+    # Sizes alone rule out many pairs before any set moves, unless they were looked at already.
+    near = pairs if sized else pairs.join(size.withColumnsRenamed({"short": "a", "n": "na"}), "a").join(
         size.withColumnsRenamed({"short": "b", "n": "nb"}), "b"
     ).where(
         (F.least("na", "nb") * below >= F.greatest("na", "nb") * above)
@@ -200,12 +200,19 @@ def _residual(members: DataFrame, sets: DataFrame, groups: DataFrame, similarity
         level(F.expr(f"greatest(1, ({above} * n) div {below})")), level(F.expr(f"({below} * n) div {above} + 1"))
     ))).withColumn("m", F.greatest(F.lit(1), F.floor(F.pow(F.lit(step), F.col("other"))).cast("long") - 1))
     ready = save(
-        sized.where(F.col("rank") <= F.col("n") - least("m") + 1).select("token", "own", "other", "short", "component"), "prefixes"
+        sized.where(F.col("rank") <= F.col("n") - least("m") + 1).select(
+            "token", "own", "other", "short", "component", "n", "rank"
+        ), "prefixes"
     )
     left, right = ready.alias("x"), ready.alias("y")
+    overlap = f"(({above} * (x.n + y.n) + {both} - 1) div {both})"
     return left.join(
         right,
-        F.expr("x.token = y.token and x.own = y.other and x.other = y.own and x.short < y.short and x.component != y.component"),
+        # With both sizes known, the prefixes are as short as they can be.
+        F.expr(
+            "x.token = y.token and x.own = y.other and x.other = y.own and x.short < y.short and x.component != y.component "
+            f"and {below} * least(x.n, y.n) >= {above} * greatest(x.n, y.n) and {overlap} <= least(x.n - x.rank, y.n - y.rank) + 1"
+        ),
     ).select(F.col("x.short").alias("a"), F.col("y.short").alias("b")).distinct()
 
 
@@ -236,23 +243,20 @@ def near_duplicates(
         "classes",
     )
     placed = classes.select("short", F.explode("bands").alias("bucket"))
-    mixed_by = lambda seed: F.min_by("short", F.xxhash64("short", F.lit(seed)))
-    led = placed.groupBy("bucket").agg(
-        F.count("*").alias("count"),
-        F.array(F.min("short"), mixed_by(1), mixed_by(2), mixed_by(3)).alias("leaders"),
-    ).where("count > 1")
+    led = placed.groupBy("bucket").agg(F.count("*").alias("count"), F.min("short").alias("leader")).where("count > 1")
     members = save(placed.join(led, "bucket"), "members")
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     small = members.where(F.col("count") <= FEW).groupBy("bucket").agg(F.collect_list("short").alias("all"))
     every = small.select(F.explode(F.flatten(F.transform(
         "all", lambda x: F.transform("all", lambda y: pair(x, y))
     ))).alias("p"))
-    # The class with the smallest id leads too: copies are mostly made of what was there before.
+    # Two leaders, by orders that hold in every bucket, so a class meets the same few leaders in
+    # most of its buckets. One has the smallest id: copies are mostly made of what was there before.
     first = placed.join(classes.select("short", "low"), "short").groupBy("bucket").agg(
         F.min_by("short", "low").alias("first"), F.count("*").alias("count")
     ).where(F.col("count") > FEW).select("bucket", "first")
     large = members.where(F.col("count") > FEW).join(first, "bucket").select(
-        F.explode(F.transform(F.array_append("leaders", F.col("first")), lambda x: pair(F.col("short"), x))).alias("p")
+        F.explode(F.array(pair(F.col("short"), F.col("leader")), pair(F.col("short"), F.col("first")))).alias("p")
     )
     pairs = save(every.unionByName(large).select("p.*").where("a != b").distinct(), "pairs")
     wanted = members.select("short").distinct().join(classes, "short").select("one.*", "class", "short")
@@ -260,7 +264,7 @@ def near_duplicates(
     links = save(_verified(pairs, sets, similarity), "links")
     groups = save(components(links), "groups")
     rest = _residual(members, sets, groups, similarity, SIZE_STEP)
-    further = save(_verified(rest, sets, similarity), "further")
+    further = save(_verified(rest, sets, similarity, sized=True), "further")
     if further.limit(1).count():
         groups = save(components(links.unionByName(further)), "groups")
     named = classes.select("class", "low").join(groups.withColumnRenamed("node", "class"), "class")
