@@ -50,6 +50,24 @@ MORE = (
     Rule("bearer", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + MORE
+# What lies between the parts of a key: white space, quotes and signs of quoted or joined strings, escaped line breaks.
+_GAP = r"""(?:[ \t\r\n"'+,>#|]|\\+[nrt]?)"""
+# Headers of an encrypted key, each on its line.
+_HEADERS = r"(?:[ \t>]*+(?:[\r\n]|\\+[nr])++[ \t>]*+(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]++)*+"
+_LINES = rf"(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)++"
+# The last line of a body is shorter and alone on its line, or ends in padding.
+_LAST = (
+    r"""(?:[ \t"'+,]*+(?:\r\n|[\r\n]|(?:\\+[nr])++)[ \t>#|"']*+[A-Za-z0-9+/=]++(?![ \t]*+[^ \t\r\n"'\\,])"""
+    r"|[ \t]++[A-Za-z0-9+/]++={1,2}+)?+"
+)
+# The whole key: up to the END line, else through the body; a body begins with a line of 16 characters
+# or more, of which fewer hold at most the key's fixed head and four bytes.
+KEY = Rule("private_key", (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rf"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----|{_HEADERS}{_LINES}{_LAST})?"
+))
+# Masking takes whole keys; the scan's own spans, as its SQL has them, are of the first line.
+MASK_RULES = tuple(KEY if r.kind == KEY.kind else r for r in RULES)
 
 
 def _posting(query: Query, lists: Column) -> Column:
@@ -165,9 +183,15 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
     )
 
 
-def mask_secrets(docs: DataFrame, text: str = "text", chars: str = "n_chars", **options) -> DataFrame:
-    """The documents with their secrets masked and the character count, if there is one, renewed."""
-    found = with_secrets(docs, text, name="_secrets", **options)
+def mask_secrets(
+    docs: DataFrame, text: str = "text", chars: str = "n_chars", rules: tuple[Rule, ...] = MASK_RULES
+) -> DataFrame:
+    """The documents with their secrets masked and the character count, if there is one, renewed.
+
+    Private keys are masked with their bodies, up to the END line or, where that is missing,
+    as far as the body goes.
+    """
+    found = with_secrets(docs, text, rules, "_secrets")
     masks = F.when(F.size("_secrets") > 0, masked(F.col(text), F.col("_secrets"))).otherwise(F.col(text))
     done = settle(found, "_masked", masks)
     new = {text: F.col("_masked")}

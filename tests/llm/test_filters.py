@@ -59,6 +59,27 @@ def test_masks(spark):
         assert done[i]["n_chars"] == len(done[i]["text"] or "")
 
 
+def test_whole_keys_are_masked(spark):
+    line = "MIIEpAIBAAKCAQEAx+/1" + "aB3" * 14 + "=="
+    begin, end = "-----BEGIN {}PRIVATE KEY-----", "-----END {}PRIVATE KEY-----"
+    body = "\n".join([line] * 5 + ["Zm9v+Q=="])
+    keys = [f"{begin.format(k)}\n{body}\n{end.format(k)}" for k in ("", "RSA ", "ENCRYPTED ")]
+    keys += [keys[1].replace("\n", "\r\n"), keys[1].replace("\n", "\\n"), keys[1].replace("\n", " "), keys[1].replace("\n", "\n> ")]
+    keys.append(keys[1].replace("-----\n", "-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n", 1))
+    keys += [k[:k.index("-----END")].rstrip("\\rn\r\n ") for k in keys[:5] + keys[-1:]] + [keys[0][:200], begin.format("") + "\n" + line * 20_000]
+    keys += [f"{begin.format('')}\n{line * 20_000}\n{end.format('')}", keys[0].replace("\n", "\\\n"), begin.format("DSA ")]
+    cases = [(f"see {k}\n\nand - so on", f"see {secrets.MASK}\n\nand - so on") for k in keys if not k.endswith(">")]
+    cases.append((f"{keys[0]}\n{keys[1]} x", f"{secrets.MASK}\n{secrets.MASK} x"))
+    cases.append((f"{begin.format('')} is how keys begin", f"{secrets.MASK} is how keys begin"))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    done = dict(secrets.mask_secrets(docs).collect())
+    for i, (text, wanted) in enumerate(cases):
+        assert done[i] == wanted, (i, text[:300], done[i][:300])
+    of = {r.kind: trigrams.trigram_query(r.pattern) for r in secrets.RULES}
+    assert of == {r.kind: trigrams.trigram_query(r.pattern) for r in secrets.MASK_RULES}
+    assert secrets.with_secrets(docs).where("secrets[0].e - secrets[0].s > 40").count() == 0
+
+
 def holds(query, text):
     if query is True:
         return True
