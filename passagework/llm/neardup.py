@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from passagework.llm.common import save, without
+from passagework.llm.common import save, sent_if_small, without
 from passagework.llm.graph import components
 from passagework.llm.marks import beside, own_columns
 from passagework.llm.rolling import WordHashes, mixed
@@ -216,6 +216,15 @@ def _residual(members: DataFrame, sets: DataFrame, groups: DataFrame, similarity
     ).select(F.col("x.short").alias("a"), F.col("y.short").alias("b")).distinct()
 
 
+def _same_id(signed: DataFrame) -> DataFrame:
+    """(a, b): of each id with several classes, its smallest class with each of the others."""
+    held = signed.where("n > 0 and _id is not null").select("_id", F.col("class").alias("b")).distinct()
+    least = sent_if_small(save(
+        held.groupBy("_id").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a != last").select("_id", "a"), "repeated_ids"
+    ))
+    return held.join(least, "_id").where("a != b").select("a", "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE,
     similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
@@ -261,7 +270,7 @@ def near_duplicates(
     pairs = save(every.unionByName(large).select("p.*").where("a != b").distinct(), "pairs")
     wanted = members.select("short").distinct().join(classes, "short").select("one.*", "class", "short")
     sets = save(_sets(own, save(wanted, "wanted"), size), "sets")
-    links = save(_verified(pairs, sets, similarity), "links")
+    links = save(_verified(pairs, sets, similarity).unionByName(_same_id(signed)), "links")
     groups = save(components(links), "groups")
     rest = _residual(members, sets, groups, similarity, SIZE_STEP)
     further = save(_verified(rest, sets, similarity, sized=True), "further")

@@ -55,6 +55,14 @@ def test_near_duplicates(docs, odd, few, monkeypatch):
         assert found.where("kept != (_id <=> component_id)").count() == 0
 
 
+def test_a_repeated_id_joins_its_texts(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(80)) for c in "ab"]
+    made = [(1, a + " x"), (5, a), (5, b), (7, b + " y"), (9, "alone"), (9, ""), (9, None), (None, "p q r s"), (None, "t u v w")]
+    found = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"))
+    assert rows(found.select("_id", "n_shingles", "component_id")) == sorted(brute.near(made), key=repr)
+    assert {(r["component_id"], r["kept"]) for r in found.where("_id in (5, 7)").collect()} == {(1, False)}
+
+
 def test_a_large_group_between_thresholds(spark, monkeypatch):
     """Copies of a text with changes, around the similarity of a link, in buckets that have leaders only."""
     import random
