@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from passagework.llm import (
     bpe,
     decontaminate,
+    interaction,
     neardup,
+    periodic,
     quality_classifier,
     quality_rules,
     secrets,
+    sharding,
     substrings,
     urls,
     warc,
     windows,
 )
 from passagework.llm.sql import TWINS
+from passagework.operators.steps import settle
 from passagework.sources.tables import read_parquet
 
 QUERIES = {}
@@ -95,4 +99,30 @@ def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digest(substrings.without_repeats(read_parquet(spark, folder, "documents")))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digest(periodic.with_runs(periodic.looped(read_parquet(spark, folder, "documents"))))
+
+
+@query
+def op12_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.digest(read_parquet(spark, folder, "documents"), shards=16)
+
+
+@query
+def op13_filter_interaction(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_parquet(spark, folder, "documents"), read_parquet(spark, folder, "labels")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = settle(docs.select("doc_id", "source", "text"), "words", words)
+    capitals = F.length(F.regexp_replace("text", "[^A-Z]+", ""))
+    conditions = {
+        "A": F.size("words") < 50,
+        "B": 100 * F.size(F.array_distinct("words")) < 65 * F.size("words"),
+        "C": 100 * capitals > 5 * F.length("text"),
+        "D": F.col("text").rlike("[#$%&*|]"),
+    }
+    losses = {"good": (labels, F.col("quality") == 1), "toxic": (labels, F.col("toxic") == 1)}
+    return interaction.audit(docs, conditions, losses, copies="E")
+
+
 ORACLES = {name: TWINS[name] for name in QUERIES if name in TWINS}

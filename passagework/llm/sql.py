@@ -155,7 +155,83 @@ SELECT page_id, archive, row_number() OVER w - 1 AS ordinal,
 FROM placed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, u, record)
 """
 
+# The checksum of each byte follows from the polynomial; a text's is folded over its bytes.
+SHARDS = """
+WITH rule AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([CAST(b AS BIGINT)], range(8)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS sums
+),
+measured AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(4294967295, list_reduce(
+      list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+        lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, sums[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM documents, rule
+),
+placed AS (
+  SELECT *, row_number() OVER w AS nth, 2 * sum(size) OVER w - size AS middle, 2 * sum(size) OVER () AS whole
+  FROM measured WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+),
+cut AS (SELECT *, CAST(least(15, 16 * middle // whole) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+  nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""
+
+FILTER_AUDIT = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copied
+  FROM documents
+),
+marked AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+),
+doc AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_filter([
+      CASE WHEN len(w) < 50 THEN 'A' END,
+      CASE WHEN 100 * list_unique(w) < 65 * len(w) THEN 'B' END,
+      CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+      CASE WHEN copied THEN 'E' END], lambda f: f IS NOT NULL) AS fails
+  FROM words LEFT JOIN marked USING (doc_id)
+),
+alike AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM doc GROUP BY part, fails
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, string_split(filter_order[1:step - 1], '') AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+),
+counted AS (
+  SELECT part, filter_order, step, f,
+    sum(n) FILTER (NOT list_has_any(fails, list_append(before, f))) AS kept,
+    sum(n) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before)) AS removed,
+    sum(n) FILTER (list_contains(fails, f) AND list_has_any(fails, before)) AS redundant,
+    sum(n) FILTER (fails = [f]) AS unique_fails,
+    sum(good) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before)) AS good_lost,
+    sum(toxic) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before)) AS toxic_lost
+  FROM alike, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
 TWINS = {
+    "op12_byte_shards": SHARDS,
+    "op13_filter_interaction": FILTER_AUDIT,
     "op6_warc_fixity": FIXITY,
     "op1_decontamination": DECONTAMINATION,
     "op2_secrets": SECRETS,
