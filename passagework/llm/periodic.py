@@ -187,7 +187,7 @@ def with_runs(docs: DataFrame, text: str = "text", least: int = LEAST, times: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for block in _blocks([value.as_py() or "" for value in batch.column("_text")]):
+            for block in _blocks([value.as_py() or "" for value in batch.column(len(kept))]):
                 rows += _described(block, least, times)
             offsets = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype(np.int32)
             flat = np.array([one for r in rows for one in r[1]], np.int64).reshape(-1, 3)
@@ -202,7 +202,8 @@ def with_runs(docs: DataFrame, text: str = "text", least: int = LEAST, times: in
                 names=[*(f.name for f in kept), *added.fieldNames()],
             )
 
-    sent = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("_text"))
+    free = "_" * max(len(name) for name in docs.columns) + "text"
+    sent = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias(free))
     return sent.mapInArrow(run, T.StructType([*kept, *added.fields]))
 
 
