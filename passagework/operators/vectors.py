@@ -239,10 +239,27 @@ class Cells:
         """The arrays, sent to every executor once; rebuild with ``Cells(*value)``."""
         return df.sparkSession.sparkContext.broadcast((self.pivots, self.rows, self.radius))
 
+    def slices(self, vectors: np.ndarray) -> Iterator[np.ndarray]:
+        """The vectors in slices whose table of distances stays within ``PAIR_VALUES``."""
+        step = max(1, PAIR_VALUES // max(1, len(self.pivots)))
+        for start in range(0, len(vectors), step):
+            yield vectors[start:start + step]
+
     def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        distance = self.distances(vectors)
-        cell = distance.argmin(axis=1)
-        return cell, distance[np.arange(len(cell)), cell]
+        cells, nearest = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for part in self.slices(vectors):
+            distance = self.distances(part)
+            cells.append(distance.argmin(axis=1))
+            nearest.append(distance.min(axis=1))
+        return np.concatenate(cells), np.concatenate(nearest)
+
+    def visits(self, vectors: np.ndarray, k: int, probes: int | None) -> list[np.ndarray]:
+        """The cells that each query visits."""
+        out = []
+        for part in self.slices(vectors):
+            chosen = self.reachable(part, k) if probes is None else self.closest(part, probes)
+            out += [np.flatnonzero(row).astype(np.int32) for row in chosen]
+        return out
 
     def distances(self, vectors: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_unit(vectors) @ self.pivots.T)))
@@ -363,9 +380,7 @@ def _join_by_cells(
 
     @F.pandas_udf("array<int>")
     def cells_for(vectors: pd.Series) -> pd.Series:
-        matrix, model = _matrix(vectors), Cells(*shared.value)
-        chosen = model.reachable(matrix, k) if probes is None else model.closest(matrix, probes)
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in chosen])
+        return pd.Series(Cells(*shared.value).visits(_matrix(vectors), k, probes))
 
     routed = _with_direction(queries).select(
         "query_id", "vector", F.explode(cells_for("vector")).alias("cell")
@@ -523,9 +538,7 @@ def lookup(
 
     @F.pandas_udf("array<int>")
     def cells_for(vectors: pd.Series) -> pd.Series:
-        matrix, model = _matrix(vectors), Cells(*shared.value)
-        chosen = model.reachable(matrix, k) if probes is None else model.closest(matrix, probes)
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in chosen])
+        return pd.Series(Cells(*shared.value).visits(_matrix(vectors), k, probes))
 
     visited = named.select(F.explode(cells_for("vector")).alias("cell")).distinct().collect()  # at most every cell
     read = index.filter(F.col("cell").isin([r["cell"] for r in visited])).drop("cell")

@@ -13,6 +13,7 @@ from passagework.operators.changes import (
     index_upsert,
     snapshot_diff,
 )
+from passagework.operators import inverted
 from passagework.operators.corpus import clean_corpus, fixed_chunks
 from passagework.operators.vectors import knn_join, lookup, nearest_to, recall, write_index
 from passagework.plans import twins
@@ -153,6 +154,47 @@ def ann_stored_recall(spark: SparkSession, folder: str) -> DataFrame:
     return recall(kept, _neighbours(vectors))
 
 
+def _queries_and_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth vector as a query, and all vectors."""
+    rows = _vectors(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rows.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), rows
+
+
+@query()
+def ann_quantised(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of a quantised index, the share of codes scanned and of full vectors compared."""
+    queries, rows = _queries_and_rows(spark, folder)
+    root = work_dir(spark, "quantised")
+    now = inverted.build_index(rows, root, cells=32)
+    listed, routed = inverted.shortlist(queries, root, probes=24, wanted=60, now=now)
+    found = inverted.lookup(queries, root, 6, probes=24, wanted=60)
+    truth = knn_join(queries, rows, 6)
+    others = lambda df: df.filter("id != query_id")
+    return inverted.with_effort(recall(others(found), others(truth)), routed, listed, now)
+
+
+@query(
+    "WITH cur AS (SELECT vec_id AS id, (CASE WHEN vec_id % 10 = 4 THEN list_reverse(embedding) ELSE embedding END)::DOUBLE[] AS v "
+    "FROM embeddings WHERE vec_id % 10 <> 3 UNION ALL SELECT vec_id + 1000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 20 = 5), "
+    "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id % 50 = 0), "
+    "s AS (SELECT query_id, id, round(list_inner_product(u, v) / sqrt(list_inner_product(u, u) * list_inner_product(v, v)), 9) AS score "
+    "FROM q, cur) SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"
+)
+def index_incremental_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored index after rows were deleted, changed and added; its exact lookup equals that of a new one."""
+    queries, rows = _queries_and_rows(spark, folder)
+    root = work_dir(spark, "incremental")
+    inverted.build_index(rows, root)
+    change = lambda df, kind: df.select("id", "vector", F.lit(kind).alias("change_type"))
+    changes = change(rows.filter("id % 10 = 3"), "delete").unionByName(
+        change(rows.filter("id % 10 = 4").withColumn("vector", F.reverse("vector")), "update")
+    ).unionByName(change(rows.filter("id % 20 = 5").withColumn("id", F.col("id") + 1_000_000), "insert"))
+    inverted.apply_changes(changes, root)
+    found = inverted.lookup(queries, root, 5)
+    return found.withColumn("score", F.round("score", 6))
+
+
 _WORD_SLOTS = f"""
   slots AS (SELECT doc_id, ('0x' || substring(md5(w), 1, 4))::INT % 64 AS slot, count(*) AS n
             FROM (SELECT doc_id, unnest(list_filter(string_split({twins.normalise('text')}, ' '),
