@@ -9,6 +9,7 @@ to the Shapley sum of its filter; a single order reads its steps from its own ed
 
 from __future__ import annotations
 
+import json
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,7 +40,14 @@ def _steps(spark: SparkSession, letters: str) -> DataFrame:
         for step, i in enumerate(order, 1):
             rows.append((name, step, state, 1 << i))
             state |= 1 << i
-    return spark.createDataFrame(rows, "filter_order string, step int, state int, bit int")
+    return _table(spark, rows, "filter_order string, step int, state int, bit int")
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table inside the plan, without tasks in Python."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    content = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(content), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
 
 
 def failures(
@@ -104,7 +112,7 @@ def audit(
     counts = rows.groupBy("part", "mask").agg(
         F.sum("n").alias("n"), *[F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(c) for c in lost]
     )
-    edges = F.broadcast(docs.sparkSession.createDataFrame(lattice(len(letters)), "state int, bit int, orders long"))
+    edges = F.broadcast(_table(docs.sparkSession, lattice(len(letters)), "state int, bit int, orders long"))
     steps = F.broadcast(_steps(docs.sparkSession, letters))  # both as large as the number of filters makes them
     # Every edge gets a row, also where nothing is removed.
     of = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << len(letters)) - 1))).alias("state")).join(edges, "state")
