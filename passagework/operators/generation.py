@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.functions.metrics import judge_overall, keywords
 from passagework.functions.text import strip
 from passagework.operators.steps import settle
+from passagework.sources.tables import save_parquet, work_dir
 
-# Instructions and field labels of the answer, rewrite and judge steps.
+# Makes, in a task, the function that turns a list of prompts into a list of records.
+Client = Callable[[], Callable[[list[str]], list[dict]]]
+
+# Instructions and field labels of the answer and rewrite steps.
 ANSWER_INSTRUCTIONS = (
     "Answer the user's question using only the information from the provided context passages.\n"
     "When using information from a passage, cite it with [n], where n is the passage number as provided.\n"
@@ -29,6 +35,8 @@ REWRITE_FIELDS = {
     "original_question": "Original Question:",
     "rewritten_query": "Rewritten Query:",
 }
+
+# Our own defaults; callers pass their own texts.
 JUDGE_INSTRUCTIONS = (
     "Judge whether a response rests on the facts that were expected.\n"
     "factual_accuracy: 0.0 to 1.0, lower for every claim that the facts do not support or contradict.\n"
@@ -58,23 +66,28 @@ def render_prompt(
     instructions: str,
     fields: dict[str, str],
     inputs: dict[str, Column],
-    demos: list[dict[str, str]] = (),
+    demos: list[dict[str, str]] | Column = (),
 ) -> Column:
     """One prompt per row: instructions, the few given demos, then the row's fields.
 
     ``fields`` maps every field to its label; a field without an input is the one
-    to be generated and ends the prompt with its label.
+    to be generated and ends the prompt with its label. ``demos`` may also be a column
+    of arrays of rendered demos, see ``demo_text``.
     """
-    shown = [
-        "\n".join(f"{label} {demo[name]}" for name, label in fields.items() if name in demo)
-        for demo in demos
-    ]
     row = [
         F.concat(F.lit(f"{label} "), F.coalesce(inputs[name], F.lit("")))
         if name in inputs
         else F.lit(label)
         for name, label in fields.items()
     ]
+    if isinstance(demos, Column):
+        # Joined with a null array, the text would leave it out without a trace.
+        given = F.coalesce(demos, F.array().cast("array<string>"))
+        return F.concat_ws(_DIVIDER, F.lit(instructions), given, F.concat_ws("\n", *row))
+    shown = [
+        "\n".join(f"{label} {demo[name]}" for name, label in fields.items() if name in demo)
+        for demo in demos
+    ]
     return F.concat_ws(_DIVIDER, *[F.lit(t) for t in [instructions, *shown]], F.concat_ws("\n", *row))
 
 
@@ -83,11 +96,13 @@ def rewrite_prompt(question: Column, demos: list[dict[str, str]] = ()) -> Column
     return render_prompt(REWRITE_INSTRUCTIONS, REWRITE_FIELDS, {"original_question": question}, demos)
 
 
-def judge_prompt(request: Column, response: Column, expected_facts: Column) -> Column:
+def judge_prompt(
+    request: Column, response: Column, expected_facts: Column, instructions: str = JUDGE_INSTRUCTIONS
+) -> Column:
     """The prompt that asks a judge to score a response against a list of expected facts."""
     facts = F.array_join(F.transform(expected_facts, lambda f: F.concat(F.lit("- "), f)), "\n")
     return render_prompt(
-        JUDGE_INSTRUCTIONS, JUDGE_FIELDS, {"request": request, "response": response, "expected_facts": facts}
+        instructions, JUDGE_FIELDS, {"request": request, "response": response, "expected_facts": facts}
     )
 
 
@@ -131,6 +146,95 @@ def batch_generate(
     return df.select(key, prompt).mapInPandas(run, schema)
 
 
+def demo_text(fields: dict[str, str], values: dict[str, Column]) -> Column:
+    """One demo as it stands in a prompt: the labelled fields that have a value."""
+    shown = [F.concat(F.lit(f"{label} "), values[name]) for name, label in fields.items() if name in values]
+    return F.concat_ws("\n", *shown)
+
+
+def _tried(
+    generate: Callable[[list[str]], list[dict]], prompts: list[str], names: list[str], attempts: int
+) -> list[dict]:
+    """Replies with an ``error`` each; a batch that keeps failing is asked prompt by prompt."""
+
+    def ask(some: list[str]) -> list[dict]:
+        replies = generate(some)
+        if len(replies) != len(some):
+            raise ValueError(f"{len(replies)} replies to {len(some)} prompts")
+        return [{**{name: reply[name] for name in names}, "error": None} for reply in replies]
+
+    failure = None
+    for _ in range(attempts):
+        try:
+            return ask(prompts)
+        except Exception as caught:  # whatever the caller's client raises
+            failure = caught
+    if len(prompts) == 1:
+        return [{**{name: None for name in names}, "error": f"{type(failure).__name__}: {failure}"}]
+    return [reply for prompt in prompts for reply in _tried(generate, [prompt], names, attempts)]
+
+
+def stored_replies(spark: SparkSession, folder: str, reply: T.StructType) -> DataFrame:
+    """(digest, reply fields) of every prompt that was ever answered without an error."""
+    schema = T.StructType([T.StructField("digest", T.StringType()), *reply.fields, T.StructField("error", T.StringType())])
+    try:
+        kept = spark.read.schema(schema).parquet(f"{folder}/replies")
+    except AnalysisException:  # nothing stored yet
+        kept = spark.createDataFrame([], schema)
+    return kept.where("error is null").select("digest", *reply.fieldNames()).dropDuplicates(["digest"])
+
+
+def resumed_generate(
+    df: DataFrame, prompt: str, client: Client, reply: T.StructType, key: str, folder: str,
+    attempts: int = 3, batch_rows: int = 64, rows_per_write: int = 100_000,
+) -> DataFrame:
+    """(key, reply fields, error) per row, like ``batch_generate``, with the replies kept in ``folder``.
+
+    Every different prompt is asked once, and not at all when ``folder`` holds its reply, so a
+    run that was stopped goes on where it was: replies are written ``rows_per_write`` prompts
+    at a time. A batch that fails is tried ``attempts`` times and then prompt by prompt; a
+    prompt that fails on its own gets null fields and the ``error``, costs no other row its
+    reply, and is asked again by the next run. A null prompt is asked as the empty text.
+    Repeated rows and keys each get the reply of their prompt.
+    """
+    spark, names = df.sparkSession, reply.fieldNames()
+    text = F.coalesce(F.col(prompt), F.lit(""))
+    asked = save_parquet(df.select(F.col(key).alias("key"), F.sha2(text, 256).alias("digest"), text.alias("prompt")), work_dir(spark, "asked"))
+    known = stored_replies(spark, folder, reply).select("digest")
+    todo = save_parquet(
+        asked.select("digest", "prompt").dropDuplicates(["digest"]).join(known, "digest", "left_anti"), work_dir(spark, "todo")
+    )
+    schema = T.StructType([T.StructField("digest", T.StringType()), *reply.fields, T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = client()
+        for batch in batches:
+            for start in range(0, len(batch), batch_rows):
+                part = batch.iloc[start:start + batch_rows]
+                out = pd.DataFrame(_tried(generate, part["prompt"].tolist(), names, attempts), columns=schema.fieldNames()[1:])
+                out.insert(0, "digest", part["digest"].to_numpy())
+                yield out
+
+    rows = todo.count()
+    slices = -(-rows // rows_per_write)
+    run_name, failed = uuid.uuid4().hex, None
+    for i in range(slices):
+        part = todo.where(F.pmod(F.xxhash64("digest"), F.lit(slices)) == i) if slices > 1 else todo
+        # Spread: a task waits for the model, not for its rows.
+        part = part.repartition(max(1, min(spark.sparkContext.defaultParallelism, -(-rows // (slices * batch_rows)))))
+        part.mapInPandas(run, schema).write.parquet(f"{folder}/replies/run={run_name}-{i}")
+    if slices:
+        fresh = spark.read.schema(schema).parquet(*[f"{folder}/replies/run={run_name}-{i}" for i in range(slices)])
+        failed = fresh.where("error is not null").select("digest", "error")
+    replies = stored_replies(spark, folder, reply)
+    out = asked.select("key", "digest").join(replies, "digest", "left")
+    if failed is not None:
+        out = out.join(failed, "digest", "left")
+    else:
+        out = out.withColumn("error", F.lit(None).cast("string"))
+    return out.select(F.col("key").alias(key), *names, "error")
+
+
 def search_query(question: Column, rewritten: Column, use_rewriter: bool = True) -> Column:
     """The text to search with: the rewritten question when the rewriter is on."""
     return rewritten if use_rewriter else question

@@ -11,11 +11,11 @@ from passagework.operators.chat import answered_turns
 from passagework.operators.scoring import score_answers
 from passagework.plans import twins
 from passagework.plans.registry import query
+from passagework.sources import run_records
 from passagework.sources.tables import (
     append_runs,
     read_parquet,
     read_program_files,
-    read_run_files,
     work_dir,
 )
 
@@ -203,33 +203,71 @@ def run_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).drop("logged_at")
 
 
+_RECORDED = f"""{_RESULTS},
+  accepted AS (SELECT run_id, stage, round(stage_score, 9) AS score,
+               (row_number() OVER (PARTITION BY run_id ORDER BY stage_no) - 1)::INT AS position FROM stages WHERE accepted)"""
+
+
+def _saved_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs saved as JSON and read back; every other run has pairs as history entries."""
+    stages = _stages(spark, folder)
+    results = selection.run_results(stages)
+    results = results.withColumns({c: F.round(c, 9) for c in ("baseline_score", "final_score", "improvement")})
+    history = selection.accepted_history(stages).withColumn("stage_score", F.round("stage_score", 9))
+    example = lambda score: F.expr(
+        f"inline(array(struct('end_to_end' AS metric, cast({score} >= 0.5 AS string) AS value), "
+        f"struct('comprehensive' AS metric, cast({score} AS string) AS value)))"
+    )
+    sides = {"baseline": "baseline_score", "optimized": "final_score"}
+    details = None
+    for side, score in sides.items():
+        part = results.select("run_id", F.lit(side).alias("side"), F.lit("example_1").alias("example"), example(score))
+        details = part if details is None else details.unionByName(part)
+    config = {
+        "strategy": F.when(F.col("accepted_stages") > 1, "multi_stage").otherwise("bootstrap_only"),
+        "training_examples": F.col("accepted_stages") * 10,
+        "bootstrap_config": F.struct(F.lit(0.6).alias("metric_threshold"), F.struct(F.col("run_id").alias("seed")).alias("sampling")),
+        "stages": F.array(F.lit("Bootstrap"), F.lit("Search")),
+    }
+    path = work_dir(spark, "runs")
+    run_records.write_records(results, history, path, config, details, pairs=F.col("run_id") % 2 == 1)
+    return run_records.read_records(spark, path)
+
+
 @query(
-    f"WITH {_RESULTS} SELECT run_id::VARCHAR AS run_id, 'multi_stage' AS strategy, "
-    "round(baseline_score, 9) AS base_score, round(final_score, 9) AS optimized_score, "
-    "round(improvement, 9) AS improvement, 0 AS position, 'best' AS stage, "
-    "round(final_score, 9) AS score FROM results"
+    f"WITH {_RECORDED} SELECT r.run_id::VARCHAR AS run_id, CASE WHEN accepted_stages > 1 THEN 'multi_stage' ELSE 'bootstrap_only' END "
+    "AS strategy, round(baseline_score, 9) AS base_score, round(final_score, 9) AS optimized_score, "
+    "round(improvement, 9) AS improvement, position, stage, score FROM results r LEFT JOIN accepted USING (run_id)"
 )
 def run_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Run records written as JSON files and read back as history rows."""
-    results = selection.run_results(_stages(spark, folder))
-    final = F.round("final_score", 9)
-    pair = F.concat(F.lit('["best", '), final.cast("string"), F.lit("]"))
-    record = results.select(
-        F.col("run_id").cast("string").alias("run_id"),
-        F.lit("multi_stage").alias("strategy"),
-        F.round("baseline_score", 9).alias("base_score"),
-        final.alias("optimized_score"),
-        F.round("improvement", 9).alias("improvement"),
-        F.concat(F.lit("["), pair, F.lit("]")).alias("history"),
-    )
-    # The history is already JSON, so it is spliced in instead of quoted as text.
-    head = F.to_json(F.struct("run_id", "strategy", "base_score", "optimized_score", "improvement"))
-    line = F.concat(
-        F.regexp_replace(head, r"\}\z", ', "optimization_history": '), F.col("history"), F.lit("}")
-    )
-    path = work_dir(spark, "runs")
-    record.select(line.alias("value")).write.text(path)
-    return read_run_files(spark, path)
+    """Run records written as JSON files and read back, one row per accepted stage."""
+    saved = _saved_runs(spark, folder)
+    scores = run_records.run_scores(saved).drop("ran_at")
+    return scores.join(run_records.run_history(saved).drop("ran_at"), "run_id")
+
+
+@query(
+    f"WITH {_RESULTS}, sides AS (SELECT run_id, 'baseline' AS side, round(baseline_score, 9) AS s FROM results UNION ALL "
+    "SELECT run_id, 'optimized', round(final_score, 9) FROM results) SELECT run_id::VARCHAR AS run_id, side, 'example_1' AS example, "
+    "'end_to_end' AS metric, s >= 0.5 AS passed, NULL::DOUBLE AS score FROM sides UNION ALL "
+    "SELECT run_id::VARCHAR, side, 'example_1', 'comprehensive', NULL, s FROM sides"
+)
+def run_file_details(spark: SparkSession, folder: str) -> DataFrame:
+    """Detailed scores of single examples out of the saved runs."""
+    return run_records.run_details(_saved_runs(spark, folder))
+
+
+@query(
+    f"WITH {_RESULTS}, c AS (SELECT run_id, accepted_stages AS n FROM results) "
+    "SELECT run_id::VARCHAR AS run_id, 'strategy' AS setting, CASE WHEN n > 1 THEN 'multi_stage' ELSE 'bootstrap_only' END AS value FROM c "
+    "UNION ALL SELECT run_id::VARCHAR, 'training_examples', (n * 10)::VARCHAR FROM c "
+    "UNION ALL SELECT run_id::VARCHAR, 'bootstrap_config.metric_threshold', '0.6' FROM c "
+    "UNION ALL SELECT run_id::VARCHAR, 'bootstrap_config.sampling.seed', run_id::VARCHAR FROM c "
+    "UNION ALL SELECT run_id::VARCHAR, 'stages', '[\"Bootstrap\",\"Search\"]' FROM c"
+)
+def run_file_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every setting of the saved runs under its path."""
+    return run_records.run_settings(_saved_runs(spark, folder))
 
 
 _INSTRUCTIONS = "Answer from the passages."
