@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions.text import is_blank, strip
-from passagework.operators.positions import position_in_table
+from passagework.operators.positions import key_at
 from passagework.operators.steps import settle
+from passagework.sources.tables import save_parquet, work_dir
 
 # Document cap, row count and example limits.
 MAX_DOCUMENTS = 100
@@ -15,6 +16,9 @@ NUM_EVALS = 100
 TRAINING_EXAMPLES = 50
 EVALUATION_EXAMPLES = 10
 
+# A text has a sentence when something in it is neither a full stop nor white space.
+ANY_SENTENCE = r"[^.\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
+
 
 def eval_documents(
     articles: DataFrame,
@@ -41,21 +45,24 @@ def allocate_evals(documents: DataFrame, key: str, num_evals: int, text: str | N
 
     Spread evenly; the remainder goes to the first documents in key order, and
     documents that would get none are left out. The key is unique and of any ordered
-    type. With a ``text`` column only documents with a sentence count, so that every
-    allotted row can be written.
+    type; rows without one are left out. With a ``text`` column only documents with a
+    sentence count, so that every allotted row can be written. Only keys are shuffled,
+    to find the one up to which the remainder goes; texts stay where they are.
     """
     documents = documents.filter(F.col(key).isNotNull())
     if text is not None:
-        documents = documents.filter(F.size(sentences(F.col(text))) > 0)
-    total = documents.count()
+        documents = documents.filter(F.col(text).rlike(ANY_SENTENCE))
+    keys = save_parquet(documents.select(key), work_dir(documents.sparkSession, "keys"))
+    total = keys.count()
     if total == 0:
         return documents.withColumn("evals", F.lit(0))
     share, rest = divmod(num_evals, total)
     if rest == 0:
         return documents.withColumn("evals", F.lit(share)).filter("evals > 0")
-    placed = position_in_table(documents, key)
-    extra = F.when(F.col("position") < rest, 1).otherwise(0)
-    return placed.withColumn("evals", extra + share).drop("position").filter("evals > 0")
+    last = F.lit(key_at(keys, key, rest - 1)).cast(documents.schema[key].dataType)
+    if share == 0:
+        return documents.filter(F.col(key) <= last).withColumn("evals", F.lit(1))
+    return documents.withColumn("evals", F.when(F.col(key) <= last, share + 1).otherwise(share))
 
 
 def sentences(text: Column) -> Column:

@@ -106,9 +106,10 @@ def judge_prompt(
     )
 
 
-def question_prompt(passage: Column, guidelines: str) -> Column:
+def question_prompt(passage: Column, guidelines: str | Column) -> Column:
     """The prompt that asks a model for an evaluation question, with the caller's guidelines."""
-    return render_prompt(QUESTION_INSTRUCTIONS, QUESTION_FIELDS, {"passage": passage, "guidelines": F.lit(guidelines)})
+    given = guidelines if isinstance(guidelines, Column) else F.lit(guidelines)
+    return render_prompt(QUESTION_INSTRUCTIONS, QUESTION_FIELDS, {"passage": passage, "guidelines": given})
 
 
 def stage_demos(programs: DataFrame, stage: str, limit: int) -> list[dict[str, str]]:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from passagework.sources.tables import save_parquet, work_dir
+
 BUCKET_WIDTH = 4096
 SAMPLE_PER_BUCKET = 32
 
@@ -130,3 +132,25 @@ def position_in_table(
         .withColumn(name, F.col("_offset") + F.row_number().over(within) - 1)
         .drop("_bucket", "_offset")
     )
+
+
+def key_at(df: DataFrame, order: str, position: int, rows_per_range: int = 1_000_000):
+    """The value at a 0-based position of a column's order; None beyond the last, nulls left out.
+
+    Only this column is shuffled, once. Its ranges are counted, and the one that holds the
+    position is the only one that is sorted.
+    """
+    keys = df.select(F.col(order).alias("key")).filter(F.col("key").isNotNull())
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // rows_per_range))
+    # Written down: the ranges come from a sample, which another run would draw anew.
+    dealt = save_parquet(
+        keys.repartitionByRange(ranges, "key", F.monotonically_increasing_id()).withColumn("range", F.spark_partition_id()),
+        work_dir(spark, "ranges"),
+    )
+    for row in dealt.groupBy("range").count().orderBy("range").collect():  # one row per range
+        if position < row["count"]:
+            found = dealt.filter(F.col("range") == row["range"]).orderBy("key").offset(position).limit(1).collect()
+            return found[0]["key"]
+        position -= row["count"]
+    return None

@@ -6,6 +6,7 @@ from passagework.plans import (  # noqa: F401
     evalset_queries,
     flow_queries,
     index_queries,
+    model_queries,
     scoring_queries,
     selection_queries,
 )

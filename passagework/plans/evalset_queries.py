@@ -42,14 +42,14 @@ def eval_docs_capped(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_uri", F.md5("content").alias("md5"))
 
 
-_ALLOCATED = f"""
+ALLOCATED_SQL = f"""
   a AS (SELECT doc_id, text, {NUM_EVALS} // (SELECT count(*) FROM documents)
         + (row_number() OVER (ORDER BY doc_id) <= {NUM_EVALS} % (SELECT count(*) FROM documents))::INT AS evals
         FROM documents),
   allocated AS (SELECT * FROM a WHERE evals > 0)"""
 
 
-@query(f"WITH {_ALLOCATED} SELECT doc_id, evals::BIGINT AS evals FROM allocated")
+@query(f"WITH {ALLOCATED_SQL} SELECT doc_id, evals::BIGINT AS evals FROM allocated")
 def eval_allocate(spark: SparkSession, folder: str) -> DataFrame:
     allocated = evalset.allocate_evals(
         _articles(spark, folder).select("doc_id"), "doc_id", NUM_EVALS
@@ -68,7 +68,7 @@ def eval_allocate_text_key(spark: SparkSession, folder: str) -> DataFrame:
     return allocated.select("key", F.col("evals").cast("long").alias("evals"))
 
 
-_QUESTIONS = f"""{_ALLOCATED},
+_QUESTIONS = f"""{ALLOCATED_SQL},
   listed AS (SELECT doc_id, evals, list_transform(list_filter(string_split(text, '.'),
              lambda s: regexp_matches(s, '{twins.NOT_WS}')), lambda s: {twins.strip('s')}) AS f FROM allocated),
   numbered AS (SELECT doc_id, unnest(range(0, evals)) AS eval_no, f FROM listed WHERE len(f) > 0),

@@ -22,7 +22,7 @@ from passagework.sources.tables import (
 # Three programs answer every answered turn: with the assistant's text, with its
 # first sentence and a citation, and with the question repeated and cited. The
 # expected facts are the assistant's sentences.
-_ANSWERS = f"""
+ANSWERS_SQL = f"""
   turns AS ({twins.ANSWERED_TURNS}),
   answers AS (
     SELECT conv_id, turn, 'full' AS program, question, answer, answer AS response FROM turns
@@ -38,7 +38,7 @@ _ANSWERS = f"""
              + completeness::INT * 0.1::DOUBLE AS total FROM graded)"""
 
 
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
+def program_scores(spark: SparkSession, folder: str) -> DataFrame:
     turns = answered_turns(read_parquet(spark, folder, "conversations"))
 
     def variant(name: str, response) -> F.Column:
@@ -56,21 +56,21 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_ANSWERS} SELECT program, round(avg(total), 6) AS mean_score, count(*) AS examples "
+    f"WITH {ANSWERS_SQL} SELECT program, round(avg(total), 6) AS mean_score, count(*) AS examples "
     "FROM scores GROUP BY program"
 )
 def program_compare(spark: SparkSession, folder: str) -> DataFrame:
-    compared = selection.compare_programs(_scores(spark, folder), "program", "total")
+    compared = selection.compare_programs(program_scores(spark, folder), "program", "total")
     return compared.withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query(
-    f"WITH {_ANSWERS} SELECT program, example::INT AS example, citation, f1 >= 0.7 AS semantic, "
+    f"WITH {ANSWERS_SQL} SELECT program, example::INT AS example, citation, f1 >= 0.7 AS semantic, "
     "total >= 0.6 AS end_to_end, round(total, 9) AS comprehensive FROM (SELECT *, row_number() OVER "
     "(PARTITION BY program ORDER BY conv_id, turn) AS example FROM scores) WHERE example <= 3"
 )
 def program_details(spark: SparkSession, folder: str) -> DataFrame:
-    detailed = selection.detailed_examples(_scores(spark, folder), "program", ["conv_id", "turn"])
+    detailed = selection.detailed_examples(program_scores(spark, folder), "program", ["conv_id", "turn"])
     return detailed.select(
         "program", "example", "citation", F.col("f1_pass").alias("semantic"),
         F.col("total_pass").alias("end_to_end"), F.round("total", 9).alias("comprehensive"),
@@ -78,7 +78,7 @@ def program_details(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ANSWERS}, s AS (SELECT *, conv_id || '/' || turn AS example FROM scores),
+    f"""WITH {ANSWERS_SQL}, s AS (SELECT *, conv_id || '/' || turn AS example FROM scores),
     g AS (SELECT *, row_number() OVER (PARTITION BY program ORDER BY conv_id, turn) AS position
           FROM s WHERE total >= 0.55),
     b AS (SELECT * FROM g WHERE position <= 4),
@@ -88,7 +88,7 @@ def program_details(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT program, false, position::INT, example FROM l WHERE position <= 2"""
 )
 def demo_select(spark: SparkSession, folder: str) -> DataFrame:
-    scored = _scores(spark, folder).withColumn("example", F.concat_ws("/", "conv_id", "turn"))
+    scored = program_scores(spark, folder).withColumn("example", F.concat_ws("/", "conv_id", "turn"))
     return selection.choose_demos(
         scored, "program", "example", "total", order=["conv_id", "turn"],
         threshold=0.55, max_bootstrapped=4, max_labeled=2,
