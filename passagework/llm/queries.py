@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import (
@@ -89,6 +89,26 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.digest(urls.judged(read_parquet(spark, folder, "pages")))
 
 
+@query
+def url_filter_linked(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with links in the pages, which hold none themselves; the id decides kind and target."""
+    id = F.col("page_id")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    ninth = F.floor(id / 9)
+    link = (
+        F.when(id % 6 == 0, text('<link href="http://shop.example.com/fr/../de/', id % 3, '" rel=canonical>'))
+        .when(id % 6 == 1, text('<meta http-equiv="refresh" content="0; url=../es/./', id % 40, '">'))
+        .when(id % 6 == 2, text('<link rel="canonical" href="?ref=', id % 5, '#top">'))
+        .when(id % 6 == 3, text('<meta http-equiv=refresh content="3;url=//mirror.example.net/', ninth, '">'))
+        .when(id % 6 == 4, text(
+            '<link rel=canonical href="mailto:a@b.c"><link rel=canonical href="http://mirror.example.net:80/', ninth, '">'
+        ))
+        .otherwise("")
+    )
+    pages = read_parquet(spark, folder, "pages")
+    return urls.digest(urls.judged(pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), link))))
+
+
 @query
 def op9_substring_windows(spark: SparkSession, folder: str) -> DataFrame:
     return windows.digest(windows.without_repeats(read_parquet(spark, folder, "documents")))

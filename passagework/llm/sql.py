@@ -78,59 +78,88 @@ SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesc
 FROM documents d LEFT JOIN per USING (doc_id)
 """
 
-_HTML_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-URL_FILTER = r"""
-WITH RECURSIVE cut AS (
-  SELECT page_id, html,
-    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
-  FROM pages
+_RESOLVED = r"""CASE WHEN {0} = '' THEN '/' WHEN regexp_matches({0}, '(?:^|/)\.\.?(?:/|$)') THEN
+    array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({0}, '/'), lambda s: [s])),
+      lambda done, s: CASE WHEN s[1] = '..' THEN done[1:greatest(len(done) - 1, 1)] WHEN s[1] = '.' THEN done
+        ELSE list_concat(done, s) END), '/')
+    || CASE WHEN regexp_matches({0}, '(?:^|/)\.\.?$') THEN '/' ELSE '' END ELSE {0} END"""
+_HOST = (
+    r"translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), "
+    r"'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+_PATH = r"coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
+_QUERY = r"coalesce(regexp_extract({0}, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '')"
+
+
+def _node(url: str) -> str:
+    host = f"regexp_replace({_HOST.format(url)}, ':(?:80|443)$', '')"
+    return f"CASE WHEN {host} <> '' THEN {host} || {_RESOLVED.format(_PATH.format(url))} || {_QUERY.format(url)} END"
+
+
+def _rule_of(host: str, path: str) -> str:
+    return f"""CASE WHEN ({host} = 'example.org' OR {host} LIKE '%.example.org') AND starts_with({path}, '/en/1') THEN 'example.org/en/1'
+      WHEN ({host} = 'example.org' OR {host} LIKE '%.example.org') AND starts_with({path}, '/es/') THEN 'example.org/es/'
+      WHEN ({host} = 'com' OR {host} LIKE '%.com') AND starts_with({path}, '/fr/') THEN 'com/fr/'
+      WHEN ({host} = 'com' OR {host} LIKE '%.com') AND starts_with({path}, '/de/') THEN 'com/de/'
+      WHEN ({host} = 'org' OR {host} LIKE '%.org') AND starts_with({path}, '/') THEN 'org/' END"""
+
+
+def url_filter(pages: str) -> str:
+    """The verdicts on a table of pages."""
+    return rf"""
+WITH RECURSIVE ruled AS (
+  SELECT page_id, html, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_node('url')} AS node,
+    {_rule_of(_HOST.format('url'), _PATH.format('url'))} AS rule
+  FROM {pages}
+),
+tag AS (
+  SELECT url, host, path, node, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM ruled
 ),
-ruled AS (
-  SELECT *, CASE WHEN host <> '' THEN
-      regexp_replace(regexp_replace(host, ':(?:80|443)$', ''), '^(?:www|m)\.', '')
-      || regexp_replace(path, '(?:/|\.html?)$', '') END AS node,
-    CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
-      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
-      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
-      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM cut
-),
-tag AS (SELECT host, path, node, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM ruled),
 target AS (
-  SELECT node, CASE
+  SELECT url, host, path, node, regexp_replace(trim(CASE
       WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b')
         THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
       WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')
-        THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''>\s]+)', 1) END AS u
+        THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''>\s]+)', 1) END), '(?s)#.*', '') AS t
   FROM tag
 ),
-link AS (
-  SELECT node AS a, regexp_replace(regexp_replace(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(?:80|443)$', ''), '^(?:www|m)\.', '')
-    || regexp_replace(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '(?:/|\.html?)$', '') AS b
-  FROM target WHERE u LIKE '%://%' AND node IS NOT NULL
+whole AS (
+  SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+      WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN starts_with(t, '//') THEN 'x:' || t
+      WHEN starts_with(t, '/') THEN 'x://' || host || t
+      WHEN starts_with(t, '?') THEN 'x://' || host || path || t
+      WHEN t <> '' THEN 'x://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || t END AS u
+  FROM target WHERE node IS NOT NULL
 ),
+link AS (SELECT a, b FROM (SELECT node AS a, {_node('u')} AS b FROM whole) WHERE b IS NOT NULL AND a <> b),
 both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (
   SELECT a, a AS b FROM both_ways
   UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
 ),
-grouped AS (
-  SELECT r.*, coalesce(g.low, r.node) AS grp
-  FROM ruled r LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) g ON r.node = g.a
+grp AS (SELECT a AS node, min(b) AS low FROM reach GROUP BY a),
+named AS (
+  SELECT low, {_rule_of("regexp_extract(node, '(?s)^([^/?]*)', 1)", "regexp_extract(node, '(?s)^[^/?]*([^?]*)', 1)")} AS rule FROM grp
+  UNION ALL SELECT low, rule FROM ruled JOIN grp USING (node)
 ),
-blocked AS (
-  SELECT DISTINCT grp FROM grouped WHERE rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') AND grp IS NOT NULL
-)
+blocked AS (SELECT DISTINCT low FROM named WHERE rule IN ('example.org/es/', 'example.org/en/1', 'com/de/'))
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN grp IN (SELECT grp FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
-FROM grouped
+    WHEN low IN (SELECT low FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN grp USING (node)
 """
 
+
+# Links for pages that hold none: the id decides the kind and the target.
+LINKED_PAGES = """(SELECT page_id, url, coalesce(html, '') || CASE page_id % 6
+  WHEN 0 THEN '<link href="http://shop.example.com/fr/../de/' || page_id % 3 || '" rel=canonical>'
+  WHEN 1 THEN '<meta http-equiv="refresh" content="0; url=../es/./' || page_id % 40 || '">'
+  WHEN 2 THEN '<link rel="canonical" href="?ref=' || page_id % 5 || '#top">'
+  WHEN 3 THEN '<meta http-equiv=refresh content="3;url=//mirror.example.net/' || page_id // 9 || '">'
+  WHEN 4 THEN '<link rel=canonical href="mailto:a@b.c"><link rel=canonical href="http://mirror.example.net:80/' || page_id // 9 || '">'
+  ELSE '' END AS html FROM pages)"""
+
 FIXITY = r"""
 WITH made AS (
   SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS name, coalesce(url, '') AS u, coalesce(html, '') AS body,
@@ -235,5 +264,6 @@ TWINS = {
     "op6_warc_fixity": FIXITY,
     "op1_decontamination": DECONTAMINATION,
     "op2_secrets": SECRETS,
-    "op8_url_filter": URL_FILTER,
+    "op8_url_filter": url_filter("pages"),
+    "url_filter_linked": url_filter(LINKED_PAGES),
 }

@@ -1,9 +1,9 @@
 """URL filter with redirect equivalence.
 
 Rules name a host and the start of a path and hold for the host's subdomains too. A page
-without a fitting rule takes over the block of an alias: pages are aliases when they are
-connected by redirects, canonical links or a common plain form of their addresses. An
-explicit allow rule of the page itself always comes first.
+without a fitting rule takes over the block of an alias: addresses are aliases when they are
+connected by redirects and canonical links. An explicit allow rule of the page itself always
+comes first.
 """
 
 from __future__ import annotations
@@ -62,34 +62,55 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return found
 
 
-def plain_form(url: Column) -> Column:
-    """The address that equivalent forms of a page redirect to.
+def resolved(path: Column) -> Column:
+    """A path without its dot segments; the empty path is ``/``."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        # The first segment is what precedes the first slash and stays.
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(
+            F.concat(done, F.array(s))
+        ),
+    )
+    # A path that ends in a dot segment names a folder.
+    joined = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    dotted = path.rlike(r"(?:^|/)\.\.?(?:/|$)")
+    return F.when(path == "", "/").when(dotted, joined).otherwise(path)
+
+
+def node_of(url: Column) -> Column:
+    """What an address names: host without default port, resolved path, and query; null without a host.
 
-    Without scheme, default port, a leading ``www.`` or ``m.``, query, fragment, ``.html``
-    and a final slash. Null without a host.
+    Scheme and fragment don't count. Addresses with other queries are other nodes.
     """
-    host = F.regexp_replace(F.regexp_replace(host_of(url), r":(?:80|443)$", ""), r"^(?:www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"(?:/|\.html?)$", "")
-    return F.when(host != "", F.concat(host, path))
+    host = F.regexp_replace(host_of(url), r":(?:80|443)$", "")
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    return F.when(host != "", F.concat(host, resolved(path_of(url)), query))
 
 
 def _absolute(target: Column, page: Column) -> Column:
-    """A link's target as an address; targets relative to the page's folder are resolved to its host."""
-    target = F.trim(target)
+    """A link's target as an address; null where it names nothing new or another kind of thing."""
+    target = F.regexp_replace(F.trim(target), r"(?s)#.*", "")
     scheme = F.regexp_extract(page, r"^([^:/?#]+):", 1)
     root = F.concat(scheme, F.lit("://"), host_of(page))
+    folder = F.coalesce(F.expr("nullif(_folder, '')"), F.lit("/"))
     return (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .when(target != "", F.concat(root, F.regexp_extract(path_of(page), r"^(.*/)", 1), target))
+        .when(target.startswith("?"), F.concat(root, path_of(page), target))
+        .when(target != "", F.concat(root, folder, target))
     )
 
 
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): links between plain forms, from redirects in pages and their canonical links."""
+    """(a, b): links between nodes, from redirects in pages and their canonical links."""
+    page = F.col(url)
     tags = pages.select(
-        F.col(url).alias("page"), F.explode(F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0))).alias("tag")
+        page.alias("page"), F.regexp_extract(path_of(page), r"(?s)^(.*/)", 1).alias("_folder"),
+        F.explode(F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0))).alias("tag"),
     )
     canonical = F.when(
         F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", _HREF, 1)
@@ -97,9 +118,9 @@ def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     moved = F.when(
         F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", _REFRESH, 1)
     )
-    ends = tags.select("page", F.coalesce(canonical, moved).alias("target")).where("target != ''")
+    ends = tags.select("page", "_folder", F.coalesce(canonical, moved).alias("target")).where("target != ''")
     return ends.select(
-        plain_form(F.col("page")).alias("a"), plain_form(_absolute(F.col("target"), F.col("page"))).alias("b")
+        node_of(F.col("page")).alias("a"), node_of(_absolute(F.col("target"), F.col("page"))).alias("b")
     ).where("a is not null and b is not null and a != b").distinct()
 
 
@@ -110,8 +131,10 @@ def judged(
     """One row per page: (_id, host, path, rule, verdict, group).
 
     ``rule`` is the name of the page's own rule, whose verdict holds. A page without one is
-    blocked when a page of its group, by plain forms and links between them, is blocked by
-    a rule, and allowed otherwise. ``redirects`` may add further (a, b) links of addresses.
+    blocked when a rule blocks an alias: a page of its group or the end of a link in it, also
+    where no page was fetched for that address; it is allowed otherwise. ``redirects`` may
+    add further (a, b) links of addresses. Groups come from links alone: addresses that only
+    look alike, or differ in their query, are not aliases.
 
     Null addresses and those without :// have no host, no rule, no alias, and are allowed.
     Null html has no links. Repeated rows are judged alike; null ids are judged; an empty
@@ -120,20 +143,32 @@ def judged(
     links = alias_links(pages, url, html)
     if redirects is not None:
         links = links.unionByName(redirects.select(
-            plain_form(F.col("a")).alias("a"), plain_form(F.col("b")).alias("b")
+            node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")
         ).where("a is not null and b is not null"))
-    groups = components(links)
+    groups = save(components(links), "groups")
     address = F.col("_url")
     own = pages.select(F.col(id).alias("_id"), F.col(url).alias("_url")).select(
-        "_id", host_of(address).alias("host"), path_of(address).alias("path"), plain_form(address).alias("node")
+        "_id", host_of(address).alias("host"), path_of(address).alias("path"), node_of(address).alias("node")
     ).withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
+    # Addresses without a node are spread over the tasks; they match nothing.
+    spread = F.when(F.col("node").isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0))
     placed = save(
-        own.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")), "pages"
+        own.withColumn("_spread", spread.cast("long")).join(
+            groups.withColumn("_spread", F.lit(0).cast("long")), ["node", "_spread"], "left"
+        ).drop("_spread"), "pages"
     )
-    blocked = placed.where("own.verdict = 'block'").select("group").distinct().withColumn("blocked", F.lit(True))
-    return placed.join(blocked, "group", "left").select(
+    # Only groups of links can hand on a block; every other page stands for itself.
+    ends = groups.select("component", rule_of(
+        F.regexp_extract("node", r"(?s)^([^/?]*)", 1), F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1), rules
+    ).alias("own"))
+    named = ends.unionByName(placed.where("component is not null").select("component", "own"))
+    blocked = named.where("own.verdict = 'block'").select("component").distinct().withColumn("blocked", F.lit(True))
+    alone = placed.where("component is null").withColumn("blocked", F.lit(None).cast("boolean"))
+    grouped = placed.where("component is not null").join(blocked, "component", "left")
+    return alone.unionByName(grouped).select(
         "_id", "host", "path", F.col("own.name").alias("rule"),
-        F.coalesce("own.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), "group",
+        F.coalesce("own.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("component", "node").alias("group"),
     )
 
 
