@@ -66,14 +66,14 @@ def with_next(
     row = F.struct(*columns)
     placed = (
         bucketed.join(offsets, [key, "_bucket"])
-        .withColumn("position", F.col("_offset") + F.row_number().over(within) - 1)
+        .withColumn("_nth", F.row_number().over(within))
+        .withColumn("position", F.col("_offset") + F.col("_nth") - 1)
         .withColumn("next", F.lead(row).over(within))
     )
     at_edge = F.col("next").isNull() & F.col("_next_bucket").isNotNull()
-    starts = (
-        bucketed.join(offsets.filter("_offset > 0").select(key, "_bucket"), [key, "_bucket"], "left_semi")
-        .groupBy(key, F.col("_bucket").alias("_next_bucket"))
-        .agg(F.min_by(row, order).alias("next"))
+    # First rows of buckets, out of the same exchange as the rows themselves.
+    starts = placed.filter("_nth = 1 and _offset > 0").select(
+        key, F.col("_bucket").alias("_next_bucket"), row.alias("next")
     )
     edges = placed.filter(at_edge).drop("next").join(starts, [key, "_next_bucket"])
     kept = [*df.columns, "position", "next"]

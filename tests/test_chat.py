@@ -80,3 +80,25 @@ def test_next_row_across_bucket_edges(spark):
         got = with_next(frame, "k", "n", ["text"], width=width).orderBy("k", "n").collect()
         assert [r["next"] and r["next"]["text"] for r in got] == [f"m{i}" for i in range(1, 50)] + [None, None]
         assert [r["position"] for r in got] == list(range(50)) + [0]
+
+
+def test_texts_are_exchanged_once(spark):
+    """Rows with their texts pass one exchange; its other uses read that again."""
+    import re
+
+    rows = [(i % 5, i // 5, "user" if i // 5 % 2 == 0 else "assistant", f"m{i}") for i in range(20000)]
+    messages = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    pinned = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in pinned}
+    try:
+        for name, value in pinned.items():
+            spark.conf.set(name, value)
+        for made in (answered_turns(messages), history_pairs(messages)):
+            plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            # The buckets' exchange; the edges' small one and the narrow counts hold no whole bucket.
+            whole = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\(conv_id#\d+, _bucket#\d+L?,", plan)
+            assert sum("text#" in columns and "next" not in columns for columns in whole) == 1
+            assert made.count() == 10000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
