@@ -35,6 +35,8 @@ from passagework.llm.rolling import WordHashes, mixed
 SHINGLE = 3
 SIMILARITY = (85, 100)
 BANDS, ROWS = 25, 5
+# Rows whose sets a task holds at a time.
+SETS_AT_ONCE = 500
 FEW = 6
 # Ratio of neighbouring sizes that the prefix filter takes together.
 SIZE_STEP = 1.02
@@ -114,13 +116,15 @@ def _sets(own: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
-            found = [_tokens(words, text.as_py(), size) for text in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("short"), batch.column("class"), pa.array([len(t) for t in found], pa.int64()),
-                 pa.array([t.tobytes() for t in found], pa.binary())],
-                names=["short", "class", "n", "tokens"],
-            )
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SETS_AT_ONCE):
+                batch = whole.slice(begin, SETS_AT_ONCE)
+                found = [_tokens(words, text.as_py(), size) for text in batch.column("_text")]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("short"), batch.column("class"), pa.array([len(t) for t in found], pa.int64()),
+                     pa.array([t.tobytes() for t in found], pa.binary())],
+                    names=["short", "class", "n", "tokens"],
+                )
 
     return texts.mapInArrow(run, "short long, class binary, n long, tokens binary").dropDuplicates(["class"])
 
