@@ -19,7 +19,7 @@ from passagework.llm.common import save
 from passagework.llm.textstats import labelled, measures, with_counts
 
 MOST_LABELLED = 50_000
-PAIRS = 60_000
+PAIRS = 60_000  # preference pairs drawn from the labelled sample, a parameter of ``fit``
 INTERVALS = 16
 STEPS = 300
 PENALTY = 1e-4
