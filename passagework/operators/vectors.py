@@ -504,7 +504,8 @@ def write_index(
         stored = stored.withColumn("cell", cell_of("vector"))
     else:
         stored = stored.withColumn("cell", F.lit(0))
-    stored.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
+    # A large cell is written by several tasks.
+    stored.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
     table = [
         (i, trained.pivots[i].tolist(), int(trained.rows[i]), float(trained.radius[i]), dims)
         for i in range(len(trained.rows))
