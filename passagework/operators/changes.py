@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagework.sources.tables import save_parquet, work_dir
+
+# Changed keys that may be sent to every task.
+FEW_CHANGES = 200_000
+
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, with their counts."""
@@ -35,18 +40,33 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str])
     )
 
 
+def _sent_if_few(keys: DataFrame) -> DataFrame:
+    """A saved table of keys, sent to every task while it is short, so that texts stay where they are."""
+    return F.broadcast(keys) if keys.limit(FEW_CHANGES + 1).count() <= FEW_CHANGES else keys
+
+
 def change_feed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Row changes with the new values; deleted rows carry nulls."""
-    changed = snapshot_diff(old, new, key, columns)
-    return changed.join(new.select(key, *columns), key, "left")
+    """Row changes with the new values; deleted rows carry nulls.
+
+    The list of changed keys is written once. While it is short, only the texts of changed
+    rows move.
+    """
+    changed = save_parquet(snapshot_diff(old, new, key, columns), work_dir(new.sparkSession, "changes"))
+    fresh = new.select(key, *columns).join(_sent_if_few(changed.filter("change_type != 'delete'")), key)
+    gone = changed.filter("change_type = 'delete'").select(
+        key, *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in columns], "change_type"
+    )
+    return fresh.select(key, *columns, "change_type").unionByName(gone)
 
 
 def index_upsert(index: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """The index after its changed rows were replaced, added or removed.
 
-    ``changes`` has the index's columns and ``change_type``, one row per key.
+    ``changes`` has the index's columns and ``change_type``, one row per key. It is written
+    once, and its keys are sent to the index while they are few.
     """
-    kept = index.join(changes.select(key), key, "left_anti").select(*index.columns)
+    changes = save_parquet(changes, work_dir(index.sparkSession, "upsert"))
+    kept = index.join(_sent_if_few(changes.select(key)), key, "left_anti").select(*index.columns)
     current = changes.filter(F.col("change_type") != "delete").select(*index.columns)
     return kept.unionByName(current)
 

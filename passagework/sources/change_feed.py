@@ -20,12 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from passagework.operators.changes import snapshot_diff
+from passagework.operators.changes import change_feed
 from passagework.sources.tables import save_parquet
 
-# Keys of changed rows that may be sent to every task.
-FEW_CHANGES = 200_000
-
 
 def _number(version: int) -> str:
     return f"{version:010d}"
@@ -70,16 +67,7 @@ def overwrite_recorded(new: DataFrame, folder: str, key: str) -> int:
     if version == 0:
         listed = table.withColumn("change_type", F.lit("insert"))
     else:
-        changed = save_parquet(
-            snapshot_diff(read_version(spark, folder, version - 1), table, key, columns), f"{folder}/keys/{_number(version)}"
-        )
-        few = changed.limit(FEW_CHANGES + 1).count() <= FEW_CHANGES
-        current = changed.where("change_type != 'delete'")
-        fresh = table.join(F.broadcast(current) if few else current, key)
-        gone = changed.where("change_type = 'delete'").select(
-            key, *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns], "change_type"
-        )
-        listed = fresh.unionByName(gone)
+        listed = change_feed(read_version(spark, folder, version - 1), table, key, columns)
     listed.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(
         f"{folder}/changes/{_number(version)}"
     )

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from passagework.operators import changes
 from passagework.sources import change_feed as feed
 from passagework.streaming.index_sync import index_batch, read_index, sync_index
 
@@ -41,7 +42,7 @@ def test_versions_and_change_lists(spark, tmp_path):
 
 
 def test_many_changes_take_the_other_way(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(feed, "FEW_CHANGES", 1)
+    monkeypatch.setattr(changes, "FEW_CHANGES", 1)
     folder = str(tmp_path / "table")
     feed.overwrite_recorded(table(spark, [(i, "x") for i in range(9)]), folder, "doc_id")
     feed.overwrite_recorded(table(spark, [(i, "y") for i in range(3, 12)]), folder, "doc_id")
