@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.common import save, without
-from passagework.llm.textstats import labelled, measures, with_counts
+from passagework.llm.textstats import labelled, measures, sampled, with_counts
 
 MOST_LABELLED = 50_000
 CUTS = 64
@@ -147,7 +147,7 @@ def judged(
     rule holds. Other columns are not looked at.
     """
     counts = save(with_counts(docs, id, text), "counts")
-    rules = learn(labelled(counts, labels, label, most_labelled, id))
+    rules = learn(sampled(labelled(counts, labels, label, id), most_labelled))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counts.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn(
         "kept", ~F.col("base_failed") & F.col("rule").isNull()

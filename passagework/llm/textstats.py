@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.llm.common import save
+
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_chars", "n_lines", "n_distinct", "n_upper", "n_digits", "n_stops", "n_marks", "n_long",
@@ -87,14 +90,27 @@ def measures() -> dict[str, Column]:
     }
 
 
-def labelled(counts: DataFrame, labels: DataFrame, label: str, most: int, id: str = "doc_id"):
-    """A bounded, repeatable sample of labelled documents as pandas: the measures and ``label``.
+def labelled(counts: DataFrame, labels: DataFrame, label: str, id: str = "doc_id") -> DataFrame:
+    """(_id, _label, the measures) of every labelled document, written down.
 
-    Every labelled document counts when there are at most ``most``; otherwise those with
-    the smallest hash of their id do. A document labelled twice has the smaller label.
+    A document labelled twice has the smaller label; rows equal in all of this count once.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(
         F.min(F.col(label)).cast("int").alias("_label")
     )
     rows = counts.join(known, "_id").select("_id", "_label", *[m.alias(name) for name, m in measures().items()])
-    return rows.orderBy(F.xxhash64("_id"), *measures()).limit(most).toPandas()
+    return save(rows.distinct(), "labelled")
+
+
+def sampled(rows: DataFrame, most: int):
+    """At most ``most`` rows of ``labelled``, the same in every run, as pandas.
+
+    All of them if there are no more; else those with the smallest hash. A bound on the hash,
+    ten standard deviations above what is wanted, cuts the rows before they are ordered, so
+    that tasks send the driver about ``most`` rows between them, however many there are.
+    """
+    place = F.xxhash64("_id", *measures())
+    n, spare = rows.count(), most + 10 * math.isqrt(most)
+    if n > spare:
+        rows = rows.where(place < -(1 << 63) + (spare << 64) // n)
+    return rows.orderBy(place, "_id", *measures()).limit(most).toPandas()

@@ -134,6 +134,31 @@ def tables(spark, folder):
     return read("documents"), read("labels")
 
 
+def quality_measures(found):
+    """The measures again, in pandas, of a table of counts."""
+    share = lambda a, b: np.where(found[b] > 0, found[a] / np.maximum(found[b], 1), 0.0)
+    parts = {
+        "word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"),
+        "repeats": ("n_repeat_words", "n_words"), "distinct": ("n_distinct", "n_words"), "capitals": ("n_upper", "n_chars"),
+        "digits": ("n_digits", "n_chars"), "stops": ("n_stops", "n_words"), "marks": ("n_marks", "n_words"),
+        "line_words": ("n_words", "n_lines"), "long_words": ("n_long", "n_words"),
+    }
+    return pd.DataFrame({"words": found.n_words.astype(float), **{name: share(*of) for name, of in parts.items()}})
+
+
+def test_samples_are_bounded(spark):
+    names = list(textstats.measures())
+    rows = spark.range(20_000).select(
+        F.col("id").alias("_id"), (F.col("id") % 2).cast("int").alias("_label"),
+        *[(F.col("id") * (i + 3) % 101 / 101).alias(name) for i, name in enumerate(names)],
+    )
+    place = F.xxhash64("_id", *names)
+    for most in (30_000, 20_000, 3_000, 10):
+        wanted = [r[0] for r in rows.orderBy(place).limit(most).select("_id").collect()]
+        assert textstats.sampled(rows, most)["_id"].tolist() == wanted
+    assert len(textstats.sampled(rows.where("false"), 10)) == 0
+
+
 def test_rules(tables, odd, empty):
     docs, labels = tables
     found = quality_rules.judged(docs, labels).toPandas()
@@ -146,6 +171,14 @@ def test_rules(tables, odd, empty):
         n, *rest, repeat = counts(texts[row._1] if hasattr(row, "_1") else texts[row[1]])
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (n, *rest, repeat)
         assert row.base_failed == (n < 50 or 100 * repeat > 50 * n)
+    data = {name: quality_measures(found)[name].to_numpy() for name in textstats.measures()}
+    rules_found = quality_rules.learn(textstats.sampled(textstats.labelled(
+        textstats.with_counts(docs), labels, "quality"), quality_rules.MOST_LABELLED))
+    first = np.zeros(len(found), int)
+    for number, rule in reversed(list(enumerate(rules_found, 1))):
+        first[quality_rules._covers(rule, data)] = number
+    assert len(rules_found) and (found.rule.fillna(0).to_numpy() == first).all()
+    assert (found.kept == ~found.base_failed & (first == 0)).all()
     assert quality_rules.judged(odd, labels).count() == odd.count()
     assert quality_rules.judged(empty, labels).count() == 0
     none = quality_rules.judged(docs, labels.where(F.lit(False)))
@@ -180,6 +213,20 @@ def test_scores(tables, odd, empty):
     assert quality_classifier.scored(empty, labels).count() == 0
     none = quality_classifier.scored(odd, labels.where(F.lit(False)))
     assert none.select("score").distinct().count() == 1
+    # The same scores, recomputed plainly.
+    counts = textstats.with_counts(docs).toPandas()
+    rows = textstats.labelled(textstats.with_counts(docs), labels.where(~quality_classifier.held_out(F.col("doc_id"))), "quality")
+    ranking = quality_classifier.fit(textstats.sampled(rows, quality_classifier.MOST_LABELLED))
+    of = lambda table: sum(
+        ranking.weights[name][np.searchsorted(ranking.cuts[name], table[name].to_numpy(), "right")] for name in textstats.measures()
+    )
+    learned = rows.toPandas()
+    totals, share = of(learned), (learned._label == 0).mean()
+    middle = np.quantile(totals, share)
+    plain = 1 / (1 + np.exp(-((of(quality_measures(counts)) - middle) * 2 / totals.std() + np.log(0.3 / 0.7))))
+    wanted = dict(zip(counts["_id"], plain))
+    assert all(abs(wanted[i] - score) < 1e-9 for i, score in zip(found["_id"], found.score))
+    assert set(found.predicted) == {0, 1} and ((found.score >= 0.3) == (found.predicted == 1)).all()
     # Held-out labels change nothing.
     turned = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     again = quality_classifier.scored(docs, turned).toPandas()
