@@ -140,3 +140,19 @@ def test_passages_are_fetched_without_shuffling_their_texts(spark):
     plan = retrieve(questions, chunks, 2)._jdf.queryExecution().executedPlan().toString()
     joined = plan[plan.index("BroadcastHashJoin"):]
     assert "SortMergeJoin [id" not in plan and "BroadcastHashJoin" in joined
+
+
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from passagework.plans.flow_queries import stream_index_sync
+
+    rows = spark.createDataFrame([(i, text(f"w{i}x")) for i in range(6)], "doc_id long, text string")
+    many, one = str(tmp_path / "many"), str(tmp_path / "one")
+    rows.repartition(3).write.parquet(f"{many}/documents.parquet")
+    os.mkdir(one)
+    pq.write_table(rows.toArrow(), f"{one}/documents.parquet")
+    for folder in (many, one):
+        assert sorted(r["id"] for r in stream_index_sync(spark, folder).collect()) == [f"{i}_0" for i in range(6)]
