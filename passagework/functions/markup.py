@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import html
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagework.functions.slices import per_text
 from passagework.functions.text import SPACE_CLASS
 
 # The markup rules, in the order they apply.
@@ -60,11 +60,6 @@ _AFTER_ENTITIES = [
 ]
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
-
-
 def drop_tags(text: Column) -> Column:
     """Remove everything between angle brackets."""
     return F.regexp_replace(text, TAG, "")
@@ -72,7 +67,7 @@ def drop_tags(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """HTML entities decoded in one pass; null for text without ``&``, which stays in the JVM."""
-    return _unescape(F.when(F.contains(text, F.lit("&")), text))
+    return per_text(html.unescape, T.StringType())(F.when(F.contains(text, F.lit("&")), text))
 
 
 def keep_long_lines(text: Column, min_chars: int = MIN_LINE_CHARS) -> Column:
