@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from passagework.functions.slices import sliced
 from passagework.operators.changes import duplicate_keys
 
 TOP_K = 5
@@ -42,15 +43,15 @@ _DISTANCE_SLACK = 1e-7
 def embed(
     df: DataFrame, text: Column, model: Callable[[list[str]], np.ndarray], name: str = "vector"
 ) -> DataFrame:
-    """Add a vector per row, computed in Arrow batches by the caller's model function."""
+    """Add a vector per row, computed in slices of Arrow batches by the caller's model function."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)))
+    def vectors(texts: list[str | None]) -> pa.Array:
+        rows = np.asarray(model([t or "" for t in texts]), dtype=np.float32)
+        offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
     # Not deterministic to the optimiser, so that no filter runs the model a second time.
-    return df.withColumn(name, vectors.asNondeterministic()(text))
+    return df.withColumn(name, sliced(vectors, T.ArrayType(T.FloatType())).asNondeterministic()(text))
 
 
 def require_unique(index: DataFrame, key: str) -> DataFrame:

@@ -24,6 +24,10 @@ from passagework.operators.changes import change_feed
 from passagework.sources.tables import save_parquet
 
 
+# Bytes of a column of a change list that are read at a time.
+READ_BYTES = 1 << 20
+
+
 def _number(version: int) -> str:
     return f"{version:010d}"
 
@@ -124,7 +128,8 @@ class ChangeFeedReader(DataSourceStreamReader):
         wanted = to_arrow_schema(self.schema)
         store, _ = self._open(self.folder)
         with store.open_input_file(partition.path) as file:
-            for batch in pq.ParquetFile(file).iter_batches(batch_size=1024, columns=wanted.names):
+            # Buffered, or a row group's whole column is in memory at once.
+            for batch in pq.ParquetFile(file, buffer_size=READ_BYTES).iter_batches(batch_size=1024, columns=wanted.names):
                 yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in wanted], schema=wanted)
 
 
