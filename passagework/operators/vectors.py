@@ -32,6 +32,13 @@ BROADCAST_BYTES = 64 << 20
 # Rows of queries and of index vectors that one task compares at a time.
 BLOCK_ROWS = 8192
 QUERY_STEP = 256
+# Candidates of a query in a block from which on its k-th value in the block is looked for.
+MANY_FOUND = 32
+# Rows, and vector values, of queries and of index vectors that one task holds.
+TILE_ROWS = 1 << 17
+TILE_VALUES = 1 << 23
+# Tasks per slot that a smaller comparison is divided into.
+TILES_PER_SLOT = 4
 # Vector values gathered at a time when single pairs are scored.
 PAIR_VALUES = 1 << 22
 SCORE_UNITS = 1_000_000_000
@@ -129,42 +136,69 @@ def _pair_dots(
     """Dot products of the given pairs; many copies of a vector make many pairs, so in slices."""
     step = max(1, PAIR_VALUES // max(1, left.shape[1]))
     parts = [
-        np.einsum("ij,ij->i", left[row[i:i + step]], right[column[i:i + step]])
+        np.einsum("ij,ij->i", left[row[i:i + step]], right[column[i:i + step]], dtype=np.float64)
         for i in range(0, len(row), step)
     ]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _block_best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> _Best:
+def _directions(vectors: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray((vectors / np.sqrt(squares)[:, None]).astype(np.float32))
+
+
+def _block_best(
+    queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block_rows: int = BLOCK_ROWS
+) -> _Best:
     """Best k index rows per query row, exact, with ties to the smaller id.
 
     A single-precision product finds every pair that can be among the best k: its
     error is bounded, so pairs below the k-th value minus twice that bound are out.
-    Only the pairs that remain are scored in double precision.
+    Only the pairs that remain are scored in double precision. The index rows are
+    taken ``block_rows`` at a time, and the k-th value so far holds for the next.
     """
-    query_squares = np.einsum("ij,ij->i", queries, queries)
-    squares = np.einsum("ij,ij->i", vectors, vectors)
+    query_squares = np.einsum("ij,ij->i", queries, queries, dtype=np.float64)
+    squares = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
     asked, usable = np.flatnonzero(query_squares > 0), np.flatnonzero(squares > 0)
     usable = usable[np.argsort(ids[usable], kind="stable")]
     none = np.zeros(0, dtype=np.int64)
     if len(asked) == 0 or len(usable) == 0:
         return _Best(none, ids[none], none)
-    unit = (vectors[usable] / np.sqrt(squares[usable, None])).astype(np.float32).T
-    slack = 2 * (vectors.shape[1] + 4) * float(np.finfo(np.float32).eps)
-    n, found = len(usable), []
+    unit = _directions(vectors[usable], squares[usable])
+    slack = np.float32(2 * (vectors.shape[1] + 4) * float(np.finfo(np.float32).eps))
+    found = []
     for start in range(0, len(asked), QUERY_STEP):
         rows = asked[start:start + QUERY_STEP]
-        near = (queries[rows] / np.sqrt(query_squares[rows, None])).astype(np.float32) @ unit
-        if n > k:
-            kth = np.partition(near, n - k, axis=1)[:, n - k]
-            row, column = np.nonzero(near >= (kth - slack)[:, None])
-        else:
-            row, column = (x.ravel() for x in np.indices(near.shape))
-        query, position = rows[row], usable[column]
-        dots = _pair_dots(queries, vectors, query, position)
-        units = np.rint(dots / np.sqrt(query_squares[query] * squares[position]) * SCORE_UNITS)
-        keep = _top(query, column, units, k)
-        found.append((query[keep], ids[position[keep]], units[keep].astype(np.int64)))
+        near_to = _directions(queries[rows], query_squares[rows])
+        kth = np.full(len(rows), -np.inf, dtype=np.float32)
+        best = None  # parallel arrays: place in rows, place in usable, score
+        for at in range(0, len(usable), block_rows):
+            near = near_to @ unit[at:at + block_rows].T
+            # Only queries that something here may be near enough to are looked at closely.
+            some = np.flatnonzero(near.max(axis=1) >= kth - slack)
+            near = near[some]
+            mask = near >= (kth[some] - slack)[:, None]
+            many = np.flatnonzero(np.count_nonzero(mask, axis=1) > max(k, MANY_FOUND))
+            if len(many) and near.shape[1] > k:
+                own = np.partition(near[many], near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+                kth[some[many]] = np.maximum(kth[some[many]], own)
+                mask[many] = near[many] >= (kth[some[many]] - slack)[:, None]
+            row, column = np.divmod(np.flatnonzero(mask), mask.shape[1])
+            row = some[row]
+            if len(row) == 0:
+                continue
+            query, position = rows[row], usable[at + column]
+            dots = _pair_dots(queries, vectors, query, position)
+            units = np.rint(dots / np.sqrt(query_squares[query] * squares[position]) * SCORE_UNITS)
+            tie = at + column
+            if best is not None:
+                row, tie, units = (np.concatenate(pair) for pair in zip(best, (row, tie, units)))
+            keep = _top(row, tie, units, k)
+            best = row[keep], tie[keep], units[keep]
+            # The k-th best so far, for queries that have k.
+            have = np.bincount(best[0], minlength=len(rows))
+            least = best[2][np.cumsum(have)[have >= k] - 1] / SCORE_UNITS
+            kth[have >= k] = np.maximum(kth[have >= k], (least - 2 / SCORE_UNITS).astype(np.float32))
+        found.append((rows[best[0]], ids[usable[best[1]]], best[2].astype(np.int64)))
     return _Best(*(np.concatenate(parts) for parts in zip(*found)))
 
 
@@ -357,6 +391,69 @@ def _by_number(values: list[int], number: Column) -> Column:
     return F.element_at(F.from_json(F.lit(str([int(v) for v in values])), "array<int>"), number + 1)
 
 
+def _tile_rows(asked: int, held: int, dims: int, slots: int, block_rows: int) -> int:
+    """Side of a tile: small enough to keep all slots busy, at most what a task should hold."""
+    busy = math.isqrt(asked * held // max(1, TILES_PER_SLOT * slots))
+    return max(block_rows, min(busy, TILE_ROWS, TILE_VALUES // max(1, dims)))
+
+
+def _tiles(rows: np.ndarray, tile_rows: int, together: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First tile and number of tiles of every cell.
+
+    A cell of more than ``tile_rows`` rows has several tiles to itself; ``together``
+    puts neighbouring smaller cells into one.
+    """
+    first, number, tile, held = [], [], -1, tile_rows
+    for n in rows:
+        parts = max(1, math.ceil(n / tile_rows))
+        if not together or parts > 1 or held + n > tile_rows:
+            tile += 1
+            held = 0
+        first.append(tile)
+        number.append(parts)
+        tile += parts - 1
+        held += n if parts == 1 else tile_rows
+    return np.array(first), np.array(number)
+
+
+def _packed(rows: DataFrame, name: str, values: int) -> DataFrame:
+    """Rows of a tile as few rows of many: ``tile``, the ``name`` column as a list, ``vectors`` as bytes.
+
+    Bytes are shuffled and read back as a matrix without an object per value. A packed
+    row has at most ``values`` vector values.
+    """
+    kind = rows.schema[name].dataType
+    schema = T.StructType([
+        T.StructField("tile", T.IntegerType()), T.StructField("other", T.IntegerType()),
+        T.StructField("dims", T.IntegerType()), T.StructField(name, T.ArrayType(kind)),
+        T.StructField("vectors", T.BinaryType()),
+    ])
+    single = rows.schema["vector"].dataType.elementType == T.FloatType()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            matrix = _matrix(batch.column("vector")).astype(np.float32 if single else np.float64)
+            step = max(1, values // max(1, matrix.shape[1]))
+            tile, other = batch.column("tile").to_numpy(), batch.column("other").to_numpy()
+            order = np.lexsort((other, tile))
+            cuts = np.flatnonzero(np.diff(tile[order]) | np.diff(other[order])) + 1
+            for group in np.split(order, cuts):
+                for at in range(0, len(group), step):
+                    part = group[at:at + step]
+                    ids = batch.column(name).take(pa.array(part))
+                    yield pa.RecordBatch.from_pydict({
+                        "tile": pa.array([tile[part[0]]], pa.int32()),
+                        "other": pa.array([other[part[0]]], pa.int32()),
+                        "dims": pa.array([matrix.shape[1]], pa.int32()),
+                        name: pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids),
+                        "vectors": pa.array([matrix[part].tobytes()], pa.binary()),
+                    })
+
+    return rows.mapInArrow(pack, schema)
+
+
 def _join_by_cells(
     queries: DataFrame,
     index: DataFrame,
@@ -366,62 +463,86 @@ def _join_by_cells(
     probes: int | None,
     block_rows: int,
 ) -> DataFrame:
-    """Compare blocks of queries with blocks of the cells they are routed to.
+    """Compare tiles of queries with tiles of the cells they are routed to.
 
-    A cell of any size is cut into blocks of about ``block_rows`` index rows, and
-    the queries routed to it likewise, so a task holds two bounded blocks and
-    returns at most k rows per query of the block.
+    A tile is a cell, part of a large cell, or for exact lookups several small cells, of
+    about ``_tile_rows`` index rows; the queries routed to it are cut likewise. A task holds
+    one tile of each, compares ``block_rows`` index rows at a time and returns at most k
+    rows per query. A vector is sent once for every tile on the other side that it meets.
     """
     index = _with_direction(index)
     shared = trained.broadcast(index)
+    tile_rows = _tile_rows(
+        queries.count(), int(trained.rows.sum()), trained.pivots.shape[1],
+        index.sparkSession.sparkContext.defaultParallelism, block_rows,
+    )
+    first, number = _tiles(trained.rows, tile_rows, probes is None)
+    tile_of, parts = first.astype(np.int32), int(number.max())
+    count = int((first + number).max())
 
     @F.pandas_udf("int")
     def cell_of(vectors: pd.Series) -> pd.Series:
         return pd.Series(Cells(*shared.value).assign(_matrix(vectors))[0])
 
     @F.pandas_udf("array<int>")
-    def cells_for(vectors: pd.Series) -> pd.Series:
-        return pd.Series(Cells(*shared.value).visits(_matrix(vectors), k, probes))
+    def tiles_for(vectors: pd.Series) -> pd.Series:
+        visited = Cells(*shared.value).visits(_matrix(vectors), k, probes)
+        return pd.Series([
+            np.unique(np.concatenate([tile_of[cells], *(
+                tile_of[cells[number[cells] > part]] + part for part in range(1, parts)
+            )])).astype(np.int32) for cells in visited
+        ])
 
     routed = _with_direction(queries).select(
-        "query_id", "vector", F.explode(cells_for("vector")).alias("cell")
+        "query_id", "vector", F.explode(tiles_for("vector")).alias("tile")
     )
-    routed_rows = np.zeros(len(trained.rows), np.int64)
-    for row in routed.groupBy("cell").count().collect():  # at most one row per cell
-        routed_rows[row["cell"]] = row["count"]
-    index_blocks = [max(1, math.ceil(n / block_rows)) for n in trained.rows]
-    query_blocks = [max(1, math.ceil(n / block_rows)) for n in routed_rows]
+    routed_rows = np.zeros(count, np.int64)
+    for row in routed.groupBy("tile").count().collect():  # at most one row per tile
+        routed_rows[row["tile"]] = row["count"]
+    query_blocks = [max(1, math.ceil(n / tile_rows)) for n in routed_rows]
 
-    def numbers(blocks: list[int]) -> Column:
-        return F.sequence(F.lit(0), _by_number(blocks, F.col("cell")) - 1)
-
-    def block(column: str, blocks: list[int]) -> Column:
-        return F.pmod(F.xxhash64(column), _by_number(blocks, F.col("cell"))).cast("int")
+    def part(key: str, parts: Column) -> Column:
+        return F.pmod(F.xxhash64(key), parts).cast("int")
 
     left = routed.select(
-        "query_id", "vector", "cell",
-        block("query_id", query_blocks).alias("query_block"),
-        F.explode(numbers(index_blocks)).alias("index_block"),
+        "query_id", "vector", "tile", part("query_id", _by_number(query_blocks, F.col("tile"))).alias("other")
+    )
+    placed = index.select("id", "vector", cell_of("vector").alias("cell")).select(
+        "id", "vector",
+        (_by_number(first.tolist(), F.col("cell")) + part("id", _by_number(number.tolist(), F.col("cell")))).alias("tile"),
     )
-    right = index.select("id", "vector", cell_of("vector").alias("cell")).select(
-        "id", "vector", "cell",
-        block("id", index_blocks).alias("index_block"),
-        F.explode(numbers(query_blocks)).alias("query_block"),
+    # Packed before it is copied for every block of queries.
+    right = _packed(placed.withColumn("other", F.lit(0)), "id", PAIR_VALUES).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), _by_number(query_blocks, F.col("tile")) - 1))
     )
-    id_type = schema["id"].dataType
-
-    def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        best = _block_best(_matrix(q["vector"]), _ids(x["id"], id_type), _matrix(x["vector"]), k)
-        return pd.DataFrame({
-            "query_id": q["query_id"].to_numpy()[best.query],
-            "id": best.ids,
-            "score": best.units / SCORE_UNITS,
+    query_kind, id_kind = schema["query_id"].dataType, schema["id"].dataType
+    wide = [df.schema["vector"].dataType.elementType != T.FloatType() for df in (queries, index)]
+
+    def rows_of(table: pa.Table, name: str, double: bool) -> tuple[pa.Array, np.ndarray]:
+        dims = table.column("dims").to_pylist()
+        if len(set(dims)) > 1:
+            raise ValueError("vectors of different lengths")
+        blobs = [np.frombuffer(b.as_buffer(), np.float64 if double else np.float32) for b in table.column("vectors").combine_chunks()]
+        return table.column(name).combine_chunks().flatten(), np.concatenate(blobs).reshape(-1, dims[0])
+
+    def compare(q: pa.Table, x: pa.Table) -> pa.Table:
+        if q.num_rows == 0 or x.num_rows == 0:
+            return pa.table({"query_id": pa.array([], names[0]), "id": pa.array([], names[1]), "score": pa.array([], pa.float64())})
+        asked, vectors = rows_of(q, "query_id", wide[0])
+        ids, rows = rows_of(x, "id", wide[1])
+        if vectors.shape[1] != rows.shape[1]:
+            raise ValueError("vectors of different lengths")
+        best = _block_best(vectors, _ids(ids.to_pylist(), id_kind), rows, k, block_rows)
+        return pa.table({
+            "query_id": asked.take(pa.array(best.query)).cast(names[0]),
+            "id": pa.array(best.ids.tolist(), names[1]),
+            "score": pa.array(best.units / SCORE_UNITS, pa.float64()),
         })
 
-    blocks = ["cell", "query_block", "index_block"]
-    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(compare, schema)
+    names = [pa.string() if isinstance(kind, T.StringType) else pa.int64() for kind in (query_kind, id_kind)]
+    blocks = ["tile", "other"]
+    packed = _packed(left, "query_id", PAIR_VALUES)
+    return packed.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(compare, schema)
 
 
 def _at_most(df: DataFrame, rows: int) -> bool:

@@ -212,3 +212,27 @@ def test_stored_index_reads_the_cells_it_probes(spark, data, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*cell#", plan)
     with pytest.raises(ValueError):
         write_index(frame.union(frame), str(tmp_path / "twice"), 6)
+
+
+@pytest.mark.parametrize("tile_rows, block_rows", [(16, 16), (64, 16), (1 << 17, 16)])
+def test_tiles_of_any_size_find_the_same(spark, data, monkeypatch, tile_rows, block_rows):
+    from passagework.operators import vectors
+
+    monkeypatch.setattr(vectors, "TILE_ROWS", tile_rows)
+    monkeypatch.setattr(vectors, "TILES_PER_SLOT", 0)
+    monkeypatch.setattr(vectors, "MANY_FOUND", 0)
+    got = knn_join(table(spark, data[::3]), table(spark, data), 6, query_id="id", broadcast_queries=0, cells=7, block_rows=block_rows)
+    assert as_lists(got) == {q: ids for q, ids in brute_force(data[::3], data, 6).items() if ids}
+
+
+def test_a_vector_is_not_sent_for_every_block(spark):
+    """Blocks bound what is compared at a time; tiles, which are far larger, what is shuffled."""
+    from passagework.operators import vectors
+
+    assert vectors._tile_rows(600_000, 600_000, 64, 12, 512) == vectors._tile_rows(600_000, 600_000, 64, 12, 8192) > 80_000
+    assert vectors._tile_rows(6_000_000, 6_000_000, 64, 12, 512) == vectors.TILE_ROWS
+    assert vectors._tile_rows(6_000_000, 6_000_000, 1536, 12, 512) * 1536 <= vectors.TILE_VALUES
+    first, number = vectors._tiles(np.array([3, 4, 30, 2, 0, 9]), 10, True)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and number.tolist() == [1, 1, 3, 1, 1, 1]
+    first, number = vectors._tiles(np.array([3, 30, 2]), 10, False)
+    assert first.tolist() == [0, 1, 4] and number.tolist() == [1, 3, 1]
