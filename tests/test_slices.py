@@ -34,3 +34,15 @@ def test_a_model_gets_slices(spark):
     vectors = embed(rows, F.col("t"), lambda texts: np.array([[len(texts), float(t)] for t in texts]))
     found = vectors.selectExpr("max(vector[0]) AS n", "sum(int(vector[1] != float(t))) AS wrong").first()
     assert found["n"] <= slices.SLICE_ROWS and found["wrong"] == 0
+
+
+def test_slots_of_words_are_kept_between_slices(monkeypatch):
+    from passagework.functions import embedding
+
+    calls, number = [], embedding._word_number
+    monkeypatch.setattr(embedding, "_word_number", lambda word: calls.append(word) or number(word))
+    model = embedding.hashed_words(16)
+    first = model(["a b", "b c"])
+    assert (model(["a b", "b c"]) == first).all() and sorted(calls) == ["a", "b", "c"]
+    monkeypatch.setattr(embedding, "MOST_WORDS", 1)
+    assert (model(["a b", "b c"]) == first).all() and len(calls) == 6
