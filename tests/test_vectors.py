@@ -236,3 +236,33 @@ def test_a_vector_is_not_sent_for_every_block(spark):
     assert first.tolist() == [0, 0, 1, 4, 4, 5] and number.tolist() == [1, 1, 3, 1, 1, 1]
     first, number = vectors._tiles(np.array([3, 30, 2]), 10, False)
     assert first.tolist() == [0, 1, 4] and number.tolist() == [1, 3, 1]
+
+
+@pytest.mark.parametrize("strip_rows, k", [(1, 5), (16, 5), (128, 5), (128, 400)])
+def test_strips_leave_nothing_out(data, monkeypatch, strip_rows, k):
+    """The best of every strip bounds what is looked into; the last strip may be short, and k beyond the strips."""
+    from passagework.operators import vectors
+
+    monkeypatch.setattr(vectors, "STRIP_ROWS", strip_rows)
+    ids = np.array([i for i, _ in data])
+    block = np.stack([v for _, v in data])
+    for block_rows in (100, 1000):
+        best = vectors._block_best(block[::7], ids, block, k, block_rows)
+        got = {q: best.ids[best.query == n].tolist() for n, (q, _) in enumerate(data[::7])}
+        assert got == brute_force(data[::7], data, k)
+
+
+def test_pairs_of_tiles_are_shared_out(spark, monkeypatch):
+    """Tiles are few bytes and much work; joining partitions by size left slots idle."""
+    from passagework.operators import vectors
+
+    monkeypatch.setattr(vectors, "TILE_ROWS", 50)
+    monkeypatch.setattr(vectors, "TILES_PER_SLOT", 0)
+    rng = np.random.default_rng(5)
+    frame = table(spark, list(enumerate(rng.normal(size=(400, 8)))))
+    named = frame.select(F.col("id").alias("query_id"), "vector")
+    schema = vectors._result_schema(named.schema["query_id"].dataType, frame.schema["id"].dataType)
+    found = vectors._join_by_cells(named, frame, 3, schema, train_cells(frame, 1), None, 16)
+    tasks = found.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert tasks > 32  # of 64 pairs; one when partitions are joined by size
+    assert found.select("query_id").distinct().count() == 400
