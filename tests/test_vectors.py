@@ -266,3 +266,54 @@ def test_pairs_of_tiles_are_shared_out(spark, monkeypatch):
     tasks = found.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
     assert tasks > 32  # of 64 pairs; one when partitions are joined by size
     assert found.select("query_id").distinct().count() == 400
+
+
+def counts_near_and_far(rng, rows, dims=24):
+    """Counts of very different lengths, with copies, ties and rows that share nothing with others."""
+    values = rng.poisson(rng.choice([0.1, 1, 4], size=(rows, 1)), size=(rows, dims))
+    values[rows // 3:rows // 3 + 40] = values[0]
+    values[::50] *= rng.choice([1, 30, 100], size=(len(values[::50]), 1))
+    values[7::90] = 0
+    values[8::90] = np.eye(dims, dtype=int)[rng.integers(0, dims, len(values[8::90]))]
+    return values.astype(np.float32)
+
+
+@pytest.mark.parametrize("k, rows, seed_part", [(1, 400, 4), (5, 130, 64), (5, 1000, 7), (60, 400, 64), (500, 400, 2)])
+@pytest.mark.parametrize("dtype", [np.float32, np.float64])
+def test_counts_by_packed_products_equal_brute_force(monkeypatch, k, rows, seed_part, dtype):
+    """Two or three index rows share a column of a product; every pair of blocks takes what its lengths allow."""
+    from passagework.operators import vectors
+
+    used = set()
+    pack = vectors._pack
+    monkeypatch.setattr(vectors, "_pack", lambda block, lanes: (used.add(lanes), pack(block, lanes))[1])
+    monkeypatch.setattr(vectors, "PACKED_COLUMNS", 32)
+    monkeypatch.setattr(vectors, "QUERY_STEP", 16)
+    monkeypatch.setattr(vectors, "SEED_PART", seed_part)
+    rng = np.random.default_rng(rows + k)
+    index = list(zip(rng.permutation(rows).tolist(), counts_near_and_far(rng, rows).astype(dtype)))
+    queries = list(enumerate(counts_near_and_far(rng, 150).astype(dtype)))
+    # Of a query that shares nothing with an index row, all pairs score 0.
+    best = vectors._block_best(
+        np.stack([v for _, v in queries]), np.array([i for i, _ in index]), np.stack([v for _, v in index]), k
+    )
+    got = {q: best.ids[best.query == q].tolist() for q, v in queries if v.any()}
+    wanted = {q: ids for q, ids in brute_force(
+        [(q, v.astype(np.float64)) for q, v in queries if v.any()], [(i, v.astype(np.float64)) for i, v in index], k
+    ).items()}
+    assert got == wanted
+    assert used == {1, 2, 3}
+
+
+def test_values_that_are_no_small_counts_are_compared_as_before(monkeypatch):
+    from passagework.operators import vectors
+
+    monkeypatch.setattr(vectors, "PACKED_COLUMNS", 16)
+    monkeypatch.setattr(vectors, "_best_of_counts", None)
+    counts = np.random.default_rng(2).poisson(2, size=(200, 8)).astype(np.float64)
+    for block in (-counts, counts + 0.5, counts * 4096):
+        rows = list(enumerate(block))
+        best = vectors._block_best(block, np.arange(200), block, 4)
+        assert {q: best.ids[best.query == q].tolist() for q, v in rows if v.any()} == {
+            q: ids for q, ids in brute_force(rows, rows, 4).items() if ids
+        }
