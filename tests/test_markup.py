@@ -77,3 +77,28 @@ def test_text_is_decoded_and_cleaned_once(spark):
     plan = clean_corpus(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert plan.count("Generate") == 2
+
+
+def test_marked_and_unmarked_texts_go_by_the_rules_one_after_the_other(spark):
+    """Texts without marks skip the rules that need one, and the shorter patterns match what the longer ones did."""
+    import random
+
+    from passagework.functions import markup, text
+
+    draw = random.Random(3)
+    pieces = list(" \t\n\r\x0b\x1c\x85\xa0 ​ ab-.") + ["cd", "  ", " \t", "word "]
+    marks = list("[]{}|<>()='\"") + ["[[", "]]", "{{", "}}", "==", "'''", "<ref>", "</ref>", "{|", "|}", "( )", "[[File:", "[https://x "]
+    rows = ["".join(draw.choices(pieces + marks * (n % 2), k=draw.randrange(40))) for n in range(2000)]
+    codes = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    rows += ["xx" + "".join(f"{chr(c)}y" for c in codes[i:i + 500]) for i in range(0, len(codes), 500)]
+    table = spark.createDataFrame([(r,) for r in rows], "text string").repartition(8)
+    assert table.where(~F.rlike("text", F.lit(markup.MARKS))).count() > 900
+    value, longer = F.col("text"), [(r"[ \t]{2,}|\t", " "), (r"[^\P{C}\n\t]|[^\P{Z} ]", "")]
+    for pattern, replacement in markup._MARK_RULES + longer:
+        value = F.regexp_replace(value, pattern, replacement)
+    plain = F.coalesce(markup.keep_long_lines(value), F.lit(""))
+    squeezed = F.translate(F.lower("text"), text.PUNCTUATION, "")
+    squeezed = F.trim(F.regexp_replace(squeezed, f"{text.SPACE_CLASS}{{2,}}|(?! ){text.SPACE_CLASS}", " "))
+    different = (markup.drop_markup(F.col("text")) != plain) | (text.normalise(F.col("text")) != squeezed)
+    tags = markup.drop_tags(F.col("text")) != F.regexp_replace("text", markup.TAG, "")
+    assert table.where(different | tags).count() == 0
