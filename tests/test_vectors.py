@@ -288,6 +288,7 @@ def test_counts_by_packed_products_equal_brute_force(monkeypatch, k, rows, seed_
     pack = vectors._pack
     monkeypatch.setattr(vectors, "_pack", lambda block, lanes: (used.add(lanes), pack(block, lanes))[1])
     monkeypatch.setattr(vectors, "PACKED_COLUMNS", 32)
+    monkeypatch.setattr(vectors, "LEAST_PACKED", 1)
     monkeypatch.setattr(vectors, "QUERY_STEP", 16)
     monkeypatch.setattr(vectors, "SEED_PART", seed_part)
     rng = np.random.default_rng(rows + k)
@@ -308,7 +309,7 @@ def test_counts_by_packed_products_equal_brute_force(monkeypatch, k, rows, seed_
 def test_values_that_are_no_small_counts_are_compared_as_before(monkeypatch):
     from passagework.operators import vectors
 
-    monkeypatch.setattr(vectors, "PACKED_COLUMNS", 16)
+    monkeypatch.setattr(vectors, "LEAST_PACKED", 1)
     monkeypatch.setattr(vectors, "_best_of_counts", None)
     counts = np.random.default_rng(2).poisson(2, size=(200, 8)).astype(np.float64)
     for block in (-counts, counts + 0.5, counts * 4096):
